@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..constants import EXCLUDED_STORE_FORMATS
-from ..functions import clean_text, round_to_second, upper_trim
+from ..functions import clean_text, round_to_second, strip_text
 from ..sources.schema import SURVEY_COLUMNS, VISIT_KEY
 
 
 def filter_store_format(src: DataFrame) -> DataFrame:
     """Drop GROCERY / ICE CREAM stores (trimmed, upper-cased); null format is kept."""
-    excluded = F.coalesce(upper_trim("store_format").isin(*EXCLUDED_STORE_FORMATS), F.lit(False))
+    excluded = F.coalesce(F.upper(strip_text("store_format")).isin(*EXCLUDED_STORE_FORMATS), F.lit(False))
     return src.filter(~excluded)
 
 
