@@ -12,7 +12,7 @@ MICROS_PER_DAY = 86_400_000_000
 
 def parse_dateid(x) -> Column:
     """``yyyyMMdd`` text -> DATE; anything unparsable -> null."""
-    return F.try_to_date(clean_text(x), F.lit("yyyyMMdd"))
+    return F.try_to_date(clean_text(x), "yyyyMMdd")
 
 
 def parse_excel_serial(x) -> Column:

@@ -14,7 +14,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import clean_float, clean_text, map_link
-from .dedup import first_row_per_key
 
 EMPLOYEE_COLS = ["employee_code", "username"]
 STORE_COLS = ["store_code", "store_name", "store_city", "store_state", "store_region", "store_format"]
@@ -48,40 +47,77 @@ def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
 
 
 # ---------------------------------------------------------------- builders --
+#
+# All four base tables come from ONE scan and ONE shuffle of the delivery: a
+# GROUPING SETS aggregate over (employee), (store), (product) and
+# (visit_date, employee, store) picks the first row of every key with
+# ``min_by(struct, src_ordinal)``.  Consumers that need several base tables
+# share that exchange (Spark reuses the identical exchange), so the source is
+# not re-read per dimension.
+
+KEY_COLS = ["visit_date", "employee_code", "store_code", "product_code"]
+GROUP_SETS = {
+    "employees": ["employee_code"],
+    "stores": ["store_code"],
+    "products": ["product_code"],
+    "visits": VISIT_KEY,
+}
+ATTR_COLS = (["username"] + STORE_COLS[1:] + PRODUCT_COLS[1:] + ["year", "month", "latitude", "longitude", "map_link"])
+
+
+def grouping_id_of(grouped: list[str]) -> int:
+    """Spark's grouping_id: one bit per key column, 1 = column not grouped."""
+    gid = 0
+    for c in KEY_COLS:
+        gid = (gid << 1) | (0 if c in grouped else 1)
+    return gid
+
+
+def clean_delivery(src: DataFrame) -> DataFrame:
+    """Per-row cleaning used by every base table (codes, texts, GPS, link)."""
+    lat = clean_float(F.col("latitude")).cast("decimal(10,6)")
+    lon = clean_float(F.col("longitude")).cast("decimal(10,6)")
+    texts = ["employee_code", "store_code", "product_code", "username"] + STORE_COLS[1:] + PRODUCT_COLS[1:]
+    out = src.select("src_ordinal", "visit_date", "year", clean_text("month").alias("month"),
+                     *[clean_text(c).alias(c) for c in texts], lat.alias("latitude"), lon.alias("longitude"))
+    return out.withColumn("map_link", map_link("latitude", "longitude"))
 
-def _first_per_code(src: DataFrame, mapping: dict[str, str], key: str) -> DataFrame:
-    cleaned = src.select("src_ordinal", *[clean_text(raw).alias(out) for out, raw in mapping.items()])
-    cleaned = cleaned.filter(F.col(key).isNotNull())
-    return first_row_per_key(cleaned, [key], [c for c in mapping if c != key])
 
+def base_pass(src: DataFrame) -> DataFrame:
+    """First row of every employee, store, product and visit key in one aggregate."""
+    cleaned = clean_delivery(src)
+    sets = [GROUP_SETS[t] for t in ("employees", "stores", "products", "visits")]
+    return cleaned.groupingSets(sets, *KEY_COLS).agg(
+        F.grouping_id().alias("_gid"),
+        F.min_by(F.struct(*ATTR_COLS), F.col("src_ordinal")).alias("_first"),
+        F.min("src_ordinal").alias("first_ordinal"),
+    )
 
-def build_employees(src: DataFrame) -> DataFrame:
-    """Clean codes / names, drop null code, first row per code."""
-    return _first_per_code(src, {"employee_code": "employee_code", "username": "username"}, "employee_code")
 
+def _split(passed: DataFrame, table: str, attrs: list[str]) -> DataFrame:
+    keys = GROUP_SETS[table]
+    cond = F.col("_gid") == grouping_id_of(keys)
+    for k in keys:
+        cond = cond & F.col(k).isNotNull()
+    return passed.filter(cond).select(*keys, *[F.col(f"_first.{a}").alias(a) for a in attrs], "first_ordinal")
 
-def build_stores(src: DataFrame) -> DataFrame:
-    return _first_per_code(src, {c: c for c in STORE_COLS}, "store_code")
 
+def build_employees(src: DataFrame, passed: DataFrame | None = None) -> DataFrame:
+    """Clean code / name, drop null code, first row per code."""
+    return _split(passed if passed is not None else base_pass(src), "employees", EMPLOYEE_COLS[1:])
 
-def build_products(src: DataFrame) -> DataFrame:
-    return _first_per_code(src, {c: c for c in PRODUCT_COLS}, "product_code")
 
+def build_stores(src: DataFrame, passed: DataFrame | None = None) -> DataFrame:
+    return _split(passed if passed is not None else base_pass(src), "stores", STORE_COLS[1:])
 
-def build_visits(src: DataFrame) -> DataFrame:
-    """One row per (visit_date, employee_code, store_code), first row wins."""
-    lat = clean_float(F.col("latitude")).cast("decimal(10,6)")
-    lon = clean_float(F.col("longitude")).cast("decimal(10,6)")
-    cleaned = src.select(
-        "src_ordinal", "visit_date", "year",
-        clean_text("month").alias("month"),
-        clean_text("employee_code").alias("employee_code"),
-        clean_text("store_code").alias("store_code"),
-        lat.alias("latitude"), lon.alias("longitude"),
-    ).withColumn("map_link", map_link("latitude", "longitude"))
-    cleaned = cleaned.filter(F.col("visit_date").isNotNull() & F.col("employee_code").isNotNull()
-                             & F.col("store_code").isNotNull())
-    return first_row_per_key(cleaned, VISIT_KEY, VISIT_ATTRS)
+
+def build_products(src: DataFrame, passed: DataFrame | None = None) -> DataFrame:
+    return _split(passed if passed is not None else base_pass(src), "products", PRODUCT_COLS[1:])
+
+
+def build_visits(src: DataFrame, passed: DataFrame | None = None) -> DataFrame:
+    """One row per (visit_date, employee_code, store_code), first row wins; null key parts dropped."""
+    return _split(passed if passed is not None else base_pass(src), "visits", VISIT_ATTRS)
 
 
 # ------------------------------------------------------------------ merges --
@@ -155,10 +191,11 @@ def visit_lookup(visits: DataFrame, employees: DataFrame, stores: DataFrame) ->
 def load_base_tables(spark: SparkSession, src: DataFrame, old: dict | None = None) -> dict[str, DataFrame]:
     """Build + merge all four base tables for one delivery (lazy DataFrames)."""
     old = old or {}
-    emp = merge_employees(old.get("employees", empty(spark, EMPLOYEES_SCHEMA)), build_employees(src))
-    sto = merge_stores(old.get("stores", empty(spark, STORES_SCHEMA)), build_stores(src))
-    pro = merge_products(old.get("products", empty(spark, PRODUCTS_SCHEMA)), build_products(src))
-    vis = merge_visits(old.get("visits", empty(spark, VISITS_SCHEMA)), build_visits(src), emp, sto)
+    passed = base_pass(src)
+    emp = merge_employees(old.get("employees", empty(spark, EMPLOYEES_SCHEMA)), build_employees(src, passed))
+    sto = merge_stores(old.get("stores", empty(spark, STORES_SCHEMA)), build_stores(src, passed))
+    pro = merge_products(old.get("products", empty(spark, PRODUCTS_SCHEMA)), build_products(src, passed))
+    vis = merge_visits(old.get("visits", empty(spark, VISITS_SCHEMA)), build_visits(src, passed), emp, sto)
     return {"employees": emp, "stores": sto, "products": pro, "visits": vis}
 
 

@@ -29,8 +29,17 @@ def query(name: str):
     return deco
 
 
+_CONTEXTS: dict[tuple, FixtureContext] = {}
+
+
 def _ctx(spark, sf_dir) -> FixtureContext:
-    return FixtureContext(spark, sf_dir)
+    """One lazy context per (session, directory): shared DataFrames are
+    constructed (analysed) once and reused by every query of the session."""
+    key = (id(spark._jsparkSession), sf_dir.rstrip("/"))
+    ctx = _CONTEXTS.get(key)
+    if ctx is None:
+        ctx = _CONTEXTS[key] = FixtureContext(spark, sf_dir)
+    return ctx
 
 
 # ------------------------------------------------------------- sources ----

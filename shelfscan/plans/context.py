@@ -60,8 +60,12 @@ class FixtureContext:
         return pivot.question_dictionary(self.tagged)
 
     def wide(self, table: str) -> DataFrame:
-        cols = pivot.dictionary_columns(self.spark, self.dictionary, table)
-        return pivot.pivot_task_table(self.tagged, table, cols)
+        if not hasattr(self, "_wide"):
+            self._wide = {}
+        if table not in self._wide:
+            cols = pivot.dictionary_columns(self.spark, self.dictionary, table)
+            self._wide[table] = pivot.pivot_task_table(self.tagged, table, cols)
+        return self._wide[table]
 
     @cached_property
     def gps_rows(self) -> DataFrame:
