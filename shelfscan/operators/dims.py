@@ -127,15 +127,18 @@ def next_id_base(old: DataFrame, id_col: str):
     return old.select(F.coalesce(F.max(id_col), F.lit(0)).cast("bigint")).scalar()
 
 
-def merge_dimension(old: DataFrame, new: DataFrame, key: list[str] | str, id_col: str,
+def merge_dimension(old: DataFrame | None, new: DataFrame, key: list[str] | str, id_col: str,
                     attrs: list[str]) -> DataFrame:
     """Upsert ``new`` into ``old`` by natural key.
 
     Attributes of a delivered key are overwritten, also with null; keys not in
     the delivery are kept untouched.  One full outer join on the key (a single
-    shuffle per side) replaces the anti-join + id lookup pair.
+    shuffle per side) replaces the anti-join + id lookup pair.  ``old=None``
+    is a first load into an empty table: ids start at 1, no join.
     """
     key = [key] if isinstance(key, str) else list(key)
+    if old is None:
+        return new.select(*key, (F.lit(1) + F.col("first_ordinal")).cast("bigint").alias(id_col), *attrs)
     base = next_id_base(old, id_col)
     o = old.select(*key, id_col, *attrs, F.lit(True).alias("_old"))
     n = new.select(*key, *attrs, "first_ordinal", F.lit(True).alias("_new"))
@@ -148,16 +151,16 @@ def merge_dimension(old: DataFrame, new: DataFrame, key: list[str] | str, id_col
     return j.select(*cols)
 
 
-def merge_employees(old: DataFrame, new: DataFrame) -> DataFrame:
+def merge_employees(old: DataFrame | None, new: DataFrame) -> DataFrame:
     return merge_dimension(old, new, "employee_code", "employee_id", ["username"]) \
         .select(*EMPLOYEES_SCHEMA.names)
 
 
-def merge_stores(old: DataFrame, new: DataFrame) -> DataFrame:
+def merge_stores(old: DataFrame | None, new: DataFrame) -> DataFrame:
     return merge_dimension(old, new, "store_code", "store_id", STORE_COLS[1:]).select(*STORES_SCHEMA.names)
 
 
-def merge_products(old: DataFrame, new: DataFrame) -> DataFrame:
+def merge_products(old: DataFrame | None, new: DataFrame) -> DataFrame:
     return merge_dimension(old, new, "product_code", "product_id", PRODUCT_COLS[1:]) \
         .select(*PRODUCTS_SCHEMA.names)
 
@@ -168,7 +171,7 @@ def attach_dim_ids(visits: DataFrame, employees: DataFrame, stores: DataFrame) -
                   .join(stores.select("store_code", "store_id"), "store_code"))
 
 
-def merge_visits(old: DataFrame, new: DataFrame, employees: DataFrame, stores: DataFrame) -> DataFrame:
+def merge_visits(old: DataFrame | None, new: DataFrame, employees: DataFrame, stores: DataFrame) -> DataFrame:
     """Upsert visits by (visit_date, employee, store); year, month, GPS and link are updated."""
     new = attach_dim_ids(new, employees, stores)
     attrs = ["year", "month", "employee_id", "store_id", "latitude", "longitude", "map_link"]
@@ -192,10 +195,10 @@ def load_base_tables(spark: SparkSession, src: DataFrame, old: dict | None = Non
     """Build + merge all four base tables for one delivery (lazy DataFrames)."""
     old = old or {}
     passed = base_pass(src)
-    emp = merge_employees(old.get("employees", empty(spark, EMPLOYEES_SCHEMA)), build_employees(src, passed))
-    sto = merge_stores(old.get("stores", empty(spark, STORES_SCHEMA)), build_stores(src, passed))
-    pro = merge_products(old.get("products", empty(spark, PRODUCTS_SCHEMA)), build_products(src, passed))
-    vis = merge_visits(old.get("visits", empty(spark, VISITS_SCHEMA)), build_visits(src, passed), emp, sto)
+    emp = merge_employees(old.get("employees"), build_employees(src, passed))
+    sto = merge_stores(old.get("stores"), build_stores(src, passed))
+    pro = merge_products(old.get("products"), build_products(src, passed))
+    vis = merge_visits(old.get("visits"), build_visits(src, passed), emp, sto)
     return {"employees": emp, "stores": sto, "products": pro, "visits": vis}
 
 
