@@ -50,7 +50,7 @@ def test_two_loads_reload_and_validation(spark, tmp_root):
     scoped = run_validation(spark, store, target=target)
     full = run_validation(spark, store)
     f_all = store.read("validation_results").filter(F.col("run_id") == full["run_id"])
-    f_in = f_all.join(target, "visit_id", "left_semi").drop("detected_at", "run_id")
+    f_in = f_all.join(target, "visit_id", "left_semi").select(*f_all.columns).drop("detected_at", "run_id")
     s = rows(store.read("validation_results").filter(F.col("run_id") == scoped["run_id"]).drop("detected_at", "run_id"))
     assert s == rows(f_in)
 
