@@ -8,12 +8,15 @@ lower-cased, and the row order of the file becomes ``src_ordinal`` because
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import clean_float, clean_text, parse_dateid, parse_excel_serial
 from .schema import EXPORT_HEADER, SOURCE_SCHEMA
 
 FILE_SLOT = 1 << 40  # room for row positions inside one file
+_EMPTY_AUTHORITY = r"^([A-Za-z][A-Za-z0-9+.-]*):///"
 
 
 def norm_header(df: DataFrame) -> DataFrame:
@@ -31,14 +34,17 @@ def _with_ordinal(spark: SparkSession, df: DataFrame, fmt: str, ordinal_col: str
     """
     if ordinal_col and ordinal_col in df.columns:
         return df.withColumn("src_ordinal", F.col(ordinal_col).try_cast("bigint"))
-    files = sorted(df.inputFiles())
+    # inputFiles() and _metadata.file_path spell empty URI authorities
+    # differently (file:///x vs file:/x): compare a normalised form.
+    files = sorted(re.sub(_EMPTY_AUTHORITY, r"\1:/", f) for f in df.inputFiles())
     ranks = spark.createDataFrame([(f, i) for i, f in enumerate(files)], "file_path string, file_rank bigint")
     if fmt == "parquet":
         pos = F.col("_metadata.row_index")
     else:
         local = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)
         pos = F.col("_metadata.file_block_start") + local
-    tagged = df.select("*", F.col("_metadata.file_path").alias("file_path"), pos.alias("_pos"))
+    path = F.regexp_replace(F.col("_metadata.file_path"), _EMPTY_AUTHORITY, "$1:/")
+    tagged = df.select("*", path.alias("file_path"), pos.alias("_pos"))
     # The rank table has one row per input file: a broadcast with a known bound.
     tagged = tagged.join(F.broadcast(ranks), "file_path", "left")
     return (tagged.withColumn("src_ordinal", F.col("file_rank") * F.lit(FILE_SLOT) + F.col("_pos"))

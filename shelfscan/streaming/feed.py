@@ -24,7 +24,14 @@ def export_schema(columns: list[str]) -> T.StructType:
 
 
 def _batch_source(batch: DataFrame) -> DataFrame:
-    """Row order inside a micro-batch: file rank (by name) then position in file."""
+    """Row order inside a micro-batch: file rank (by name) then position in file.
+
+    Text formats: the split's byte offset plus the row number inside the split
+    (computed here, on the static micro-batch, straight over the file scan).
+    """
+    if "_pos" not in batch.columns:
+        local = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)
+        batch = batch.withColumn("_pos", F.col("_block") + local).drop("_block")
     files = batch.select("_file").distinct()
     # one row per file of the batch (bounded by maxFilesPerTrigger)
     ranks = files.withColumn("_rank", F.row_number().over(Window.orderBy("_file")) - 1)
@@ -41,10 +48,9 @@ def start_export_feed(spark: SparkSession, input_dir: str, store_root: str, colu
     if fmt == "csv":
         reader = reader.option("header", "true")
     stream = reader.load(input_dir)
-    pos = F.col("_metadata.row_index") if fmt == "parquet" else (
-        F.col("_metadata.file_block_start")
-        + F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33))
-    stream = stream.select("*", F.col("_metadata.file_path").alias("_file"), pos.alias("_pos"))
+    pos = (F.col("_metadata.row_index").alias("_pos") if fmt == "parquet"
+           else F.col("_metadata.file_block_start").alias("_block"))
+    stream = stream.select("*", F.col("_metadata.file_path").alias("_file"), pos)
     store = TableStore(spark, store_root)
 
     def process(batch: DataFrame, batch_id: int) -> None:
