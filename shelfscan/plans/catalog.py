@@ -24,11 +24,24 @@ QUERIES: dict[str, Builder] = {}
 
 def query(name: str):
     def deco(fn):
-        QUERIES[name] = fn
+        QUERIES[name] = _fresh(fn)
         return fn
     return deco
 
 
+def _fresh(fn: Builder) -> Builder:
+    """Return a new DataFrame on top of the (shared, memoised) plan.
+
+    Shared context frames are only analysed, never executed themselves, so
+    executed physical plans (and their broadcast relations) belong to the
+    returned wrapper and are released with it.
+    """
+    def build(spark, sf_dir):
+        return fn(spark, sf_dir).select("*")
+    build.__name__ = getattr(fn, "__name__", "query")
+    return build
+
+
 _CONTEXTS: dict[tuple, FixtureContext] = {}
 
 
@@ -212,11 +225,11 @@ def _wide(table):
     return build
 
 
-QUERIES["pivot_questions"] = _wide("task_location_checkin")
-QUERIES["pivot_osa"] = _wide("task_osa_pack_coc_mh")
-QUERIES["pivot_price"] = _wide("task_price")
-QUERIES["pivot_shelf"] = _wide("task_primary_shelf_placement")
-QUERIES["pivot_deviation"] = _wide("task_callcycle_deviation")
+QUERIES["pivot_questions"] = _fresh(_wide("task_location_checkin"))
+QUERIES["pivot_osa"] = _fresh(_wide("task_osa_pack_coc_mh"))
+QUERIES["pivot_price"] = _fresh(_wide("task_price"))
+QUERIES["pivot_shelf"] = _fresh(_wide("task_primary_shelf_placement"))
+QUERIES["pivot_deviation"] = _fresh(_wide("task_callcycle_deviation"))
 
 
 @query("task_answers")
