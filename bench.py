@@ -41,7 +41,7 @@ def main() -> None:
     for name in names:
         fn = catalog.QUERIES[name]
         for run in range(2):
-            catalog._CONTEXTS.clear()
+            catalog.reset()
             t0 = time.perf_counter()
             fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
             elapsed = time.perf_counter() - t0

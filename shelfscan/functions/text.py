@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 from pyspark.sql.column import Column as _Col
 
-# Python's str.strip() removes every Unicode White_Space char plus the four
-# information separators \x1c-\x1f; Java's (?U)\s covers the former.
-_EDGE_WS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# Whitespace removed by Python's str.strip(): every char with str.isspace()
+# (Unicode White_Space plus the separators \x1c-\x1f), built by rule.
+WHITESPACE = [chr(c) for c in range(0x110000) if chr(c).isspace()]
+WS_CHARS = "".join(WHITESPACE)
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -16,14 +17,16 @@ def _c(x) -> Column:
 
 
 def strip_text(x) -> Column:
-    """Text without surrounding whitespace (Python ``str.strip`` semantics); null stays null."""
-    return F.regexp_replace(_c(x).cast("string"), _EDGE_WS, "")
+    """Text without surrounding whitespace (Python ``str.strip`` semantics); null stays null.
+
+    ``btrim`` with an explicit character set: a native trim, no regex.
+    """
+    return F.btrim(_c(x).cast("string"), F.lit(WS_CHARS))
 
 
 def clean_text(x) -> Column:
     """Null / blank -> null, otherwise the text without surrounding whitespace."""
-    stripped = F.regexp_replace(_c(x).cast("string"), _EDGE_WS, "")
-    return F.when(stripped != "", stripped)
+    return F.nullif(strip_text(x), F.lit(""))
 
 
 def clean_float(x) -> Column:

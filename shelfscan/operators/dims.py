@@ -62,7 +62,7 @@ GROUP_SETS = {
     "products": ["product_code"],
     "visits": VISIT_KEY,
 }
-ATTR_COLS = (["username"] + STORE_COLS[1:] + PRODUCT_COLS[1:] + ["year", "month", "latitude", "longitude", "map_link"])
+ATTR_COLS = (["username"] + STORE_COLS[1:] + PRODUCT_COLS[1:] + ["year", "month", "latitude", "longitude"])
 
 
 def grouping_id_of(grouped: list[str]) -> int:
@@ -74,13 +74,13 @@ def grouping_id_of(grouped: list[str]) -> int:
 
 
 def clean_delivery(src: DataFrame) -> DataFrame:
-    """Per-row cleaning used by every base table (codes, texts, GPS, link)."""
-    lat = clean_float(F.col("latitude")).cast("decimal(10,6)")
-    lon = clean_float(F.col("longitude")).cast("decimal(10,6)")
+    """Per-row cleaning used by every base table (codes, texts; GPS is typed
+    DECIMAL(10,6) by the source preparation already)."""
     texts = ["employee_code", "store_code", "product_code", "username"] + STORE_COLS[1:] + PRODUCT_COLS[1:]
-    out = src.select("src_ordinal", "visit_date", "year", clean_text("month").alias("month"),
-                     *[clean_text(c).alias(c) for c in texts], lat.alias("latitude"), lon.alias("longitude"))
-    return out.withColumn("map_link", map_link("latitude", "longitude"))
+    return src.select("src_ordinal", "visit_date", "year", clean_text("month").alias("month"),
+                      *[clean_text(c).alias(c) for c in texts],
+                      F.col("latitude").cast("decimal(10,6)").alias("latitude"),
+                      F.col("longitude").cast("decimal(10,6)").alias("longitude"))
 
 
 def base_pass(src: DataFrame) -> DataFrame:
@@ -95,11 +95,21 @@ def base_pass(src: DataFrame) -> DataFrame:
 
 
 def _split(passed: DataFrame, table: str, attrs: list[str]) -> DataFrame:
+    """Rows of one grouping set with no null key part.
+
+    Every test is phrased on an aggregate output (``first_ordinal`` is never
+    null), so the optimizer keeps it above the aggregate: all base tables then
+    share one identical aggregate, whose shuffle Spark reuses across them.
+    """
     keys = GROUP_SETS[table]
-    cond = F.col("_gid") == grouping_id_of(keys)
+    here = F.col("first_ordinal").isNotNull()
+    cond = F.when(here, F.col("_gid")) == grouping_id_of(keys)
     for k in keys:
-        cond = cond & F.col(k).isNotNull()
-    return passed.filter(cond).select(*keys, *[F.col(f"_first.{a}").alias(a) for a in attrs], "first_ordinal")
+        cond = cond & F.when(here, F.col(k)).isNotNull()
+    # the maps link of the first row, built once per visit rather than per row
+    cols = [map_link(F.col("_first.latitude"), F.col("_first.longitude")).alias(a) if a == "map_link"
+            else F.col(f"_first.{a}").alias(a) for a in attrs]
+    return passed.filter(cond).select(*keys, *cols, "first_ordinal")
 
 
 def build_employees(src: DataFrame, passed: DataFrame | None = None) -> DataFrame:
@@ -191,10 +201,17 @@ def visit_lookup(visits: DataFrame, employees: DataFrame, stores: DataFrame) ->
             .select("visit_id", "visit_date", "employee_code", "store_code"))
 
 
-def load_base_tables(spark: SparkSession, src: DataFrame, old: dict | None = None) -> dict[str, DataFrame]:
-    """Build + merge all four base tables for one delivery (lazy DataFrames)."""
+def load_base_tables(spark: SparkSession, src: DataFrame, old: dict | None = None,
+                     passed: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Build + merge all four base tables for one delivery (lazy DataFrames).
+
+    ``passed`` is the (ideally persisted) ``base_pass(src)``: the four tables
+    then read one materialised aggregate instead of re-running it per table
+    (column pruning makes each table's copy of the aggregate different, so
+    Spark could not share the shuffle by itself).
+    """
     old = old or {}
-    passed = base_pass(src)
+    passed = passed if passed is not None else base_pass(src)
     emp = merge_employees(old.get("employees"), build_employees(src, passed))
     sto = merge_stores(old.get("stores"), build_stores(src, passed))
     pro = merge_products(old.get("products"), build_products(src, passed))

@@ -24,6 +24,9 @@ def prefix_count(df: DataFrame, group_cols: list[str], order_col: str, flag_col:
     w_local = (Window.partitionBy(*group_cols, "_bkt").orderBy(order_col)
                .rowsBetween(Window.unboundedPreceding, -1))
     df = df.withColumn("_local", F.coalesce(F.sum(flag).over(w_local), F.lit(0)))
+    # totals from the windowed rows: already clustered by (group, bucket), and
+    # every branch below goes through the window's exchange, which Spark reuses
+    # (the input is read once)
     totals = df.groupBy(*group_cols, "_bkt").agg(F.sum(flag).alias("_n"))
     w_off = Window.partitionBy(*group_cols).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_off", F.coalesce(F.sum("_n").over(w_off), F.lit(0))).drop("_n")

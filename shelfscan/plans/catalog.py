@@ -45,6 +45,13 @@ def _fresh(fn: Builder) -> Builder:
 _CONTEXTS: dict[tuple, FixtureContext] = {}
 
 
+def reset() -> None:
+    """Drop every memoised context and release what it persisted."""
+    for ctx in _CONTEXTS.values():
+        ctx.close()
+    _CONTEXTS.clear()
+
+
 def _ctx(spark, sf_dir) -> FixtureContext:
     """One lazy context per (session, directory): shared DataFrames are
     constructed (analysed) once and reused by every query of the session."""

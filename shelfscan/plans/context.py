@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import dims, pivot, routing, rules, survey
+from ..session import checkpoint_dir
 from ..sources.fixture import events_source, split_deliveries
 
 
@@ -17,15 +19,31 @@ class FixtureContext:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._persisted: list[DataFrame] = []
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        """Materialise a frame reused by several branches of a query, once per context.
+
+        A reliable checkpoint into the shared checkpoint folder: later plans
+        start from the checkpointed files (a short lineage that the optimizer
+        and AQE re-plan cheaply, and that survives lost executors).
+        """
+        checkpoint_dir(self.spark)
+        return df.checkpoint(eager=True)
+
+    def close(self) -> None:
+        self._persisted.clear()
 
     # ---- single delivery (the whole table loaded once) ---------------------
     @cached_property
     def src(self) -> DataFrame:
-        return events_source(self.spark, self.sf_dir)
+        # the prepared source is read by every base table, the routed rows and
+        # the survey fact: read it once
+        return self._keep(events_source(self.spark, self.sf_dir))
 
     @cached_property
     def base(self) -> dict[str, DataFrame]:
-        return dims.load_base_tables(self.spark, self.src)
+        return dims.load_base_tables(self.spark, self.src, passed=self._keep(dims.base_pass(self.src)))
 
     @property
     def employees(self) -> DataFrame:
@@ -49,11 +67,12 @@ class FixtureContext:
 
     @cached_property
     def survey(self) -> DataFrame:
-        return survey.build_survey(self.src, self.lookup)
+        return self._keep(survey.build_survey(self.src, self.lookup))
 
     @cached_property
     def tagged(self) -> DataFrame:
-        return routing.tag_task_rows(self.src, self.visits, self.products)
+        # read by the dictionary, every task table and the SOS reshape
+        return self._keep(routing.tag_task_rows(self.src, self.visits, self.products))
 
     @cached_property
     def dictionary(self) -> DataFrame:
@@ -84,18 +103,26 @@ class FixtureContext:
     def deliveries(self) -> tuple[DataFrame, DataFrame]:
         return split_deliveries(self.src)
 
+    @cached_property
+    def pass1(self) -> DataFrame:
+        return self._keep(dims.base_pass(self.deliveries[0]))
+
+    @cached_property
+    def pass2(self) -> DataFrame:
+        return self._keep(dims.base_pass(self.deliveries[1]))
+
     @cached_property
     def load1(self) -> dict[str, DataFrame]:
-        return dims.load_base_tables(self.spark, self.deliveries[0])
+        return dims.load_base_tables(self.spark, self.deliveries[0], passed=self.pass1)
 
     @cached_property
     def load2(self) -> dict[str, DataFrame]:
-        return dims.load_base_tables(self.spark, self.deliveries[1], old=self.load1)
+        return dims.load_base_tables(self.spark, self.deliveries[1], old=self.load1, passed=self.pass2)
 
     @cached_property
     def affected(self) -> DataFrame:
         """Visits delivered by the afternoon load (ids after the merge)."""
-        return dims.affected_visits(self.load2["visits"], dims.build_visits(self.deliveries[1]))
+        return dims.affected_visits(self.load2["visits"], dims.build_visits(self.deliveries[1], self.pass2))
 
     def survey_of(self, delivery: DataFrame, load: dict[str, DataFrame]) -> DataFrame:
         lk = dims.visit_lookup(load["visits"], load["employees"], load["stores"])
@@ -119,7 +146,9 @@ class FixtureContext:
     @cached_property
     def affected_single(self) -> DataFrame:
         """Afternoon-delivered visits, with the single-load visit ids."""
-        return dims.affected_visits(self.visits, dims.build_visits(self.deliveries[1]))
+        delivered = self.deliveries[1].select("visit_date", dims.clean_text("employee_code").alias("employee_code"),
+                                              dims.clean_text("store_code").alias("store_code"))
+        return self.visits.join(delivered, dims.VISIT_KEY, "left_semi").select("visit_id")
 
     @cached_property
     def findings(self) -> DataFrame:

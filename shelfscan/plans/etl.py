@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from ..constants import SOS_TABLE, all_task_tables
 from ..operators import dims, pivot, routing, sos, survey
+from ..session import checkpoint_dir
 from ..sources.store import MONTH_COL, TableStore, replace_by_visit, with_visit_month
 
 BASE_TABLES = ["employees", "stores", "products", "visits"]
@@ -32,7 +33,9 @@ def run_etl(spark: SparkSession, source: DataFrame, store: TableStore, full_refr
         # merge only the months this delivery touches; other months stay as they are
         months = src.select(F.date_format("visit_date", "yyyy-MM").alias(MONTH_COL)).distinct()
         old["visits"] = old["visits"].join(months, MONTH_COL, "left_semi").drop(MONTH_COL)
-    base = dims.load_base_tables(spark, src, old)
+    checkpoint_dir(spark)
+    passed = dims.base_pass(src).checkpoint(eager=True)  # four tables read it; short lineage
+    base = dims.load_base_tables(spark, src, old, passed=passed)
 
     counts: dict[str, int] = {}
     written: dict[str, DataFrame] = {}
@@ -55,7 +58,8 @@ def run_etl(spark: SparkSession, source: DataFrame, store: TableStore, full_refr
 
     # ---- task tables ----------------------------------------------------------
     tagged = routing.tag_task_rows(src, visits, written["products"])
-    tagged = with_visit_month(tagged)
+    # read by the dictionary, every task table and the SOS reshape
+    tagged = with_visit_month(tagged).checkpoint(eager=True)
     known = None if full_refresh else store.read("question_dictionary")
     new_dict = pivot.question_dictionary(tagged, known)
     if known is None:

@@ -20,6 +20,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -40,7 +41,7 @@ def get_session(master: str | None = None, app: str = "shelfscan",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     for k, v in DEFAULT_CONF.items():
-        if k.startswith("spark.ui."):
+        if k.startswith("spark.ui.") or k.startswith("spark.cleaner."):
             continue
         if spark.conf.get(k, None) is None:
             spark.conf.set(k, v)

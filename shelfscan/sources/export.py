@@ -51,6 +51,22 @@ def _with_ordinal(spark: SparkSession, df: DataFrame, fmt: str, ordinal_col: str
             .drop("file_path", "file_rank", "_pos"))
 
 
+def balance_partitions(df: DataFrame) -> DataFrame:
+    """Spread an under-split input over the cluster.
+
+    A delivery can arrive as one unsplittable file (a gzipped CSV, a Parquet
+    file with a single row group): then one task would carry every step of the
+    run.  When the scan has fewer partitions than the default parallelism the
+    rows are spread round-robin; row order is carried by ``src_ordinal``, so
+    nothing depends on partition order afterwards.  A large input already has
+    more splits than cores and is left as it is (no extra shuffle).
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def scan_export(spark: SparkSession, path: str | list[str], fmt: str = "csv",
                 options: dict | None = None, ordinal_col: str | None = None) -> DataFrame:
     """Read the export once, all columns as text, plus ``src_ordinal``."""
@@ -62,7 +78,7 @@ def scan_export(spark: SparkSession, path: str | list[str], fmt: str = "csv",
     df = reader.load(path)
     df = _with_ordinal(spark, df, fmt, ordinal_col)
     df = norm_header(df)
-    return prepare_source(df)
+    return balance_partitions(prepare_source(df))
 
 
 def prepare_source(df: DataFrame) -> DataFrame:

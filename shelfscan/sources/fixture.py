@@ -89,7 +89,8 @@ def events_source(spark: SparkSession, sf_dir: str) -> DataFrame:
             cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
         else:
             cols.append(F.lit(None).cast(f.dataType).alias(f.name))
-    return typed.select(*cols)
+    from .export import balance_partitions
+    return balance_partitions(typed.select(*cols))
 
 
 def split_deliveries(source: DataFrame) -> tuple[DataFrame, DataFrame]:
