@@ -76,9 +76,9 @@ def scan_export(spark: SparkSession, path: str | list[str], fmt: str = "csv",
     for k, v in (options or {}).items():
         reader = reader.option(k, v)
     df = reader.load(path)
-    df = _with_ordinal(spark, df, fmt, ordinal_col)
-    df = norm_header(df)
-    return balance_partitions(prepare_source(df))
+    df = _with_ordinal(spark, df, fmt, ordinal_col)  # needs the scan's own partitions
+    df = norm_header(balance_partitions(df))
+    return prepare_source(df)
 
 
 def prepare_source(df: DataFrame) -> DataFrame:

@@ -75,22 +75,18 @@ def fixture_sql() -> str:
 
 def events_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prepared source rows derived from the test tables at ``sf_dir``."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").alias("e")
+    from .export import balance_partitions
+    e = balance_partitions(spark.read.parquet(f"{sf_dir}/events.parquet")).alias("e")
     n = spark.read.parquet(f"{sf_dir}/nation.parquet").alias("n")
     r = spark.read.parquet(f"{sf_dir}/region.parquet").alias("r")
     # nation / region are fixed-size reference tables (25 / 5 rows): the
     # planner broadcasts them from file statistics.
     joined = (e.join(n, F.col("n.n_nationkey") == F.col("e.user_id") % 20)
                .join(r, F.col("r.r_regionkey") == F.col("n.n_regionkey")))
-    typed = joined.select(*[F.expr(expr).alias(name) for name, expr in FIXTURE_COLUMNS.items()])
-    cols = []
-    for f in SOURCE_SCHEMA.fields:
-        if f.name in typed.columns:
-            cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
-        else:
-            cols.append(F.lit(None).cast(f.dataType).alias(f.name))
-    from .export import balance_partitions
-    return balance_partitions(typed.select(*cols))
+    # one selectExpr call: the whole projection is parsed JVM-side at once
+    exprs = [f"CAST({FIXTURE_COLUMNS.get(f.name, 'NULL')} AS {f.dataType.simpleString()}) AS {f.name}"
+             for f in SOURCE_SCHEMA.fields]
+    return joined.selectExpr(*exprs)
 
 
 def split_deliveries(source: DataFrame) -> tuple[DataFrame, DataFrame]:
