@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..functions import clean_float, clean_text, map_link
+from ..functions import clean_text, map_link
 
 EMPLOYEE_COLS = ["employee_code", "username"]
 STORE_COLS = ["store_code", "store_name", "store_city", "store_state", "store_region", "store_format"]

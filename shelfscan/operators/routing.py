@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..constants import (GLACE_KEYWORD, GLACE_TABLE, LOCATION_TABLES, TABLES_WITH_PRODUCT,
                          TABLES_WITH_TASK, TABLES_WITH_TITLE, TASK_TABLE_MAP, TITLE_TABLE_MAP)
 from ..functions import clean_text, contains_ci, strip_text
-from ..sources.schema import VISIT_KEY
+
 
 
 def route_expr() -> Column:
