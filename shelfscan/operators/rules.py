@@ -137,8 +137,16 @@ def gps_findings(found: DataFrame) -> DataFrame:
 OSA_GROUP = ["year_num", "week_num", "banner", "product_code", "question"]
 
 
-def osa_base(survey: DataFrame, stores: DataFrame) -> DataFrame:
-    """Availability answers (Oui / Non) with product, banner, calendar year and MySQL week."""
+def osa_base(survey: DataFrame, stores: DataFrame, collation: str | None = None) -> DataFrame:
+    """Availability answers (Oui / Non) with product, banner, calendar year and MySQL week.
+
+    ``collation`` (e.g. ``UNICODE_CI_AI``) makes answer tests and the weekly
+    grouping keys case- / accent-insensitive, like a database default
+    collation; by default texts compare exactly.
+    """
+    if collation:
+        survey = survey.select(*[F.collate(F.col(c), collation).alias(c) if c in ("response", "question", "product_code")
+                                 else F.col(c) for c in survey.columns])
     s = survey.filter(F.col("product_code").isNotNull() & F.col("response").isin(OSA_YES, OSA_NO)
                       & F.upper(F.col("question")).contains(OSA_QUESTION_KEYWORD))
     banners = stores.select("store_code", case_banner("store_name").alias("banner"))
@@ -164,9 +172,10 @@ def osa_weekly(base: DataFrame) -> DataFrame:
              .withColumn("availability_rate", rate))
 
 
-def osa_unusual_non(survey: DataFrame, stores: DataFrame, target: DataFrame | None = None) -> DataFrame:
+def osa_unusual_non(survey: DataFrame, stores: DataFrame, target: DataFrame | None = None,
+                    collation: str | None = None) -> DataFrame:
     """'Non' answers inside a week whose rounded Oui rate is >= 80 for the same banner/product/question."""
-    base = osa_base(survey, stores)
+    base = osa_base(survey, stores, collation)
     nons = base.filter(F.col("response") == OSA_NO)
     if target is not None:
         nons = nons.join(target.select("visit_id").distinct(), "visit_id", "left_semi")
