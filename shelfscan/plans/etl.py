@@ -97,7 +97,9 @@ def _replace(store: TableStore, name: str, new_rows: DataFrame, affected: DataFr
              full_refresh: bool, counts: dict) -> None:
     """Delete-then-insert by visit: every affected visit's rows are replaced,
     also in tables that receive no new rows for it."""
-    old = None if full_refresh else store.read(name, merge_schema=True)
+    # the new rows carry the table's full column set (the question dictionary
+    # only grows), so the old table is read with that schema: no footer scan
+    old = None if full_refresh else store.read(name, schema=new_rows.schema)
     rows = replace_by_visit(old, new_rows, affected)
     rows, obs = _count(rows, name)
     if old is None:
