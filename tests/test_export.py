@@ -48,3 +48,23 @@ def test_csv_and_parquet_export_round_trip(spark, tmp_root):
             assert abs((a.responsedate - b.responsedate).total_seconds()) < 1e-3
         ords = [r.src_ordinal for r in pairs]
         assert len(set(ords)) == len(ords)
+
+
+def test_ordinals_follow_file_order(spark, tmp_root):
+    """Rows of a later file (by name) come after every row of an earlier file."""
+    src = events_source(spark, SF_SMALL)
+    raw = raw_export(src)
+    parts = [raw.filter(F.col(" EMPLOYEECODE ").isin("E0", "E1")), raw.filter(~F.col(" EMPLOYEECODE ").isin("E0", "E1"))]
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for i, part in enumerate(parts):
+        part.coalesce(1).write.mode("overwrite").option("header", "true").csv(f"{tmp_root}/p{i}")
+        fs = jvm.org.apache.hadoop.fs.Path(tmp_root).getFileSystem(conf)
+        fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{tmp_root}/multi"))
+        f = [x for x in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{tmp_root}/p{i}")) if x.getPath().getName().endswith(".csv")][0]
+        fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(f"{tmp_root}/multi/export_{i}.csv"))
+    got = scan_export(spark, f"{tmp_root}/multi", "csv")
+    first = got.filter(F.col("employee_code").isin("E0", "E1")).agg(F.max("src_ordinal")).first()[0]
+    second = got.filter(~F.col("employee_code").isin("E0", "E1")).agg(F.min("src_ordinal")).first()[0]
+    assert first < second
+    assert got.select("src_ordinal").distinct().count() == got.count() == src.count()
