@@ -21,6 +21,34 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_likeness(table(spark, sf_dir, "documents"))
 
 
+def op2_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rotation_codes import embedding_components
+
+    return embedding_components(table(spark, sf_dir, "embeddings"))
+
+
+OP2_SQL = """
+WITH RECURSIVE proper AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM proper a JOIN proper b ON a.vec_id < b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(node, low) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT e.b, r.low FROM reach r JOIN both_ways e ON e.a = r.node WHERE r.low < e.b
+), degree AS (
+  SELECT a, count(*) AS n FROM both_ways GROUP BY 1
+)
+SELECT r.node AS vec_id, coalesce(max(d.n), 0) AS n_links, min(r.low) AS component_id, min(r.low) = r.node AS kept
+FROM reach r LEFT JOIN degree d ON d.a = r.node GROUP BY r.node
+"""
+
+
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_shards import new_folder, read_shards, write_shards
 
@@ -101,10 +129,11 @@ FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN reach r ON r.node
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_rotation_codes": op2_rotation_codes,
     "op4_token_shards": op4_token_shards,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_url_rules": op8_url_rules,
     "op9_ngram_join": op9_ngram_join,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_url_rules": OP8_SQL, "op9_ngram_join": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_rotation_codes": OP2_SQL, "op8_url_rules": OP8_SQL, "op9_ngram_join": OP9_SQL}
