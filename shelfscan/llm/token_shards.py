@@ -2,11 +2,13 @@
 
 A shard file is a run of segments, each followed by a line feed:
 
-    ids        all documents' ids, one after another, little-endian uint32
+    ids        all documents' ids, one after another, little-endian, of
+               two bytes where the vocabulary allows and else of four
     directory  for each document in order: key int64, ids uint32
     displaced  uint32 for each bucket of the hash
     slots      for each distinct key: fingerprint uint32, first id uint64, ids uint32
-    footer     magic, ids, documents, distinct keys, buckets (uint64 each)
+    footer     magic, bytes of an id, ids, documents, distinct keys, buckets
+               (uint64 each)
 
 A key is hashed once (64 bits); its bucket's displacement names its slot, so
 that a lookup reads three places whatever the number of keys, and the stored
@@ -39,7 +41,7 @@ from .words import mix64
 MAGIC = 0x3144485350414D31
 SLOT = np.dtype([("print", "<u4"), ("start", "<u8"), ("count", "<u4")])
 ENTRY = np.dtype([("key", "<i8"), ("count", "<u4")])
-FOOTER = struct.Struct("<5Q")
+FOOTER = struct.Struct("<6Q")
 #: Keys per bucket of the hash on average.
 PER_BUCKET = 4
 #: Ids of a segment, but for a single longer document.
@@ -96,9 +98,9 @@ def build_hash(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return displaced, slots
 
 
-def segment(keys: np.ndarray, payloads: list[bytes]) -> bytes:
+def segment(keys: np.ndarray, payloads: list[bytes], width: int) -> bytes:
     """A segment of documents in ascending key order; the index holds a repeated key's first document."""
-    counts = np.array([len(p) // 4 for p in payloads], np.int64)
+    counts = np.array([len(p) // width for p in payloads], np.int64)
     starts = np.cumsum(counts) - counts
     distinct, first = np.unique(keys, return_index=True)
     displaced, slots = build_hash(distinct)
@@ -108,22 +110,22 @@ def segment(keys: np.ndarray, payloads: list[bytes]) -> bytes:
     directory = np.zeros(len(keys), ENTRY)
     directory["key"], directory["count"] = keys, counts
     return b"".join([*payloads, directory.tobytes(), displaced.astype("<u4").tobytes(), table.tobytes(),
-                     FOOTER.pack(MAGIC, int(counts.sum()), len(keys), len(distinct), len(displaced))])
+                     FOOTER.pack(MAGIC, width, int(counts.sum()), len(keys), len(distinct), len(displaced))])
 
 
 class Segment:
     """Keyed access to the bytes of one segment."""
 
     def __init__(self, data: memoryview) -> None:
-        magic, total, documents, keys, buckets = FOOTER.unpack_from(data, len(data) - FOOTER.size)
+        magic, width, total, documents, keys, buckets = FOOTER.unpack_from(data, len(data) - FOOTER.size)
         if magic != MAGIC:
             raise ValueError("not a segment of token ids")
         at = len(data) - FOOTER.size - keys * SLOT.itemsize
         self.slots = np.frombuffer(data, SLOT, keys, at)
         self.displaced = np.frombuffer(data, "<u4", buckets, at := at - 4 * buckets)
         self.directory = np.frombuffer(data, ENTRY, documents, at := at - documents * ENTRY.itemsize)
-        self.ids = np.frombuffer(data, "<u4", total, at - 4 * total)
-        self.begin = at - 4 * total
+        self.begin = at - width * total
+        self.ids = np.frombuffer(data, f"<u{width}", total, self.begin)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(held, first id, ids) of each key."""
@@ -149,20 +151,27 @@ def segments(data: bytes) -> list[Segment]:
 
 # --- encoding --------------------------------------------------------------
 
-#: Pre-tokens that a worker remembers the ids of.
-CACHE_ENTRIES = 400_000
+#: Words that a worker remembers the ids of.
+CACHE_ENTRIES = 1_500_000
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: A text with other characters, or with two spaces in a row, is encoded in one piece by the library.
-_UNUSUAL = re.compile("[^\n\x20-\x7eÀ-ÖØ-öø-ÿ]|  ")
+_UNUSUAL = re.compile(f"[^\n\x20-\x7e{_LETTERS}]|  ").search
+#: The byte-level pre-tokeniser's pattern (fixed) for texts of the other characters, without apostrophes.
+_PARTS = re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+").findall
+#: Pieces of at most so many characters are remembered whole.
+_SHORT = 8
 _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Whole-text encoding by the tokenizers library, each distinct pre-token once.
+    """Whole-text encoding by the tokenizers library, each distinct word once.
 
     The byte-level pre-tokeniser always cuts before a space that follows
     another character than white space, so that a text without two spaces in a
-    row can be cut there by ``str.split``; what is cut goes to the library's
-    own pre-tokeniser and model.
+    row can be cut there by ``str.split`` and pieces by the pattern; pieces
+    with apostrophes go through the library's own pre-tokeniser, and every
+    distinct pre-token through its model.
+    Ids take two bytes where the vocabulary allows.
     """
 
     def __init__(self, path: str) -> None:
@@ -170,30 +179,46 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.width = id_width(self.whole.get_vocab_size())
+        pre = self.whole.pre_tokenizer.pre_tokenize_str
+        simple = [chr(c) for c in (10, *range(32, 127), *range(0xC0, 0x100)) if c not in (0xD7, 0xF7)]
+        self.shown = {ord(c): "".join(t for t, _ in pre(c)) for c in simple}  # as the vocabulary spells them
         self.cache: dict[str, bytes] = {}
 
-    def _piece(self, piece: str) -> bytes:
-        found = self.cache.get(piece)
+    def _token(self, token: str) -> bytes:
+        return b"".join([t.id.to_bytes(self.width, "little") for t in self.whole.model.tokenize(token)])
+
+    def _held(self, text: str) -> bytes:
+        found = self.cache.get(text)
         if found is None:
-            found = b"".join(self._token(t) for t, _ in self.whole.pre_tokenizer.pre_tokenize_str(piece))
+            found = self._token(text.translate(self.shown))
             if len(self.cache) < CACHE_ENTRIES:
-                self.cache[piece] = found
+                self.cache[text] = found
         return found
 
-    def _token(self, token: str) -> bytes:
-        found = self.cache.get("\0" + token)
-        if found is None:
-            found = np.array([t.id for t in self.whole.model.tokenize(token)], "<u4").tobytes()
-            if len(self.cache) < CACHE_ENTRIES:
-                self.cache["\0" + token] = found
+    def _piece(self, piece: str) -> bytes:
+        if "'" in piece:
+            return b"".join([self._token(t) for t, _ in self.whole.pre_tokenizer.pre_tokenize_str(piece)])
+        parts = _PARTS(piece)
+        if len(parts) == 1:
+            return self._held(piece)
+        found = b"".join([self._held(part) for part in parts])
+        if len(piece) <= _SHORT and len(self.cache) < CACHE_ENTRIES:
+            self.cache[piece] = found
         return found
 
     def encode(self, text: str) -> bytes:
-        """The text's ids as little-endian unsigned 32-bit integers."""
-        if _UNUSUAL.search(text) or any(s in text for s in self.special):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        cache, piece = self.cache, self._piece
-        return b"".join([cache.get(p) or piece(p) for p in text.replace(" ", "\0 ").split("\0")]) if text else b""
+        """The text's ids, little-endian, of ``width`` bytes."""
+        if not text:
+            return b""
+        if _UNUSUAL(text) or any(s in text for s in self.special):
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
+        known, piece = self.cache.get, self._piece
+        return b"".join([known(p) or piece(p) for p in text.replace(" ", "\0 ").split("\0")])
+
+
+def id_width(vocabulary: int) -> int:
+    return 2 if vocabulary <= 1 << 16 else 4
 
 
 def encoder(path: str) -> Encoder:
@@ -206,20 +231,19 @@ def encoder(path: str) -> Encoder:
 # --- Spark jobs ------------------------------------------------------------
 
 def _segment_writer(path: str, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, keys, payloads, size = encoder(path).encode, [], [], 0
-        row = lambda: pa.RecordBatch.from_pydict({"segment": pa.array([segment(np.array(keys, np.int64), payloads)], pa.binary())})
+        encode, width, keys, payloads, size = encoder(path).encode, encoder(path).width, [], [], 0
+        end = end_id.to_bytes(width, "little")
+        row = lambda: pa.RecordBatch.from_pydict({"segment": pa.array([segment(np.array(keys, np.int64), payloads, width)], pa.binary())})
         for batch in batches:
             for key, text in zip(batch.column("key"), batch.column("text")):
                 ids = encode(text.as_py()) + end
-                if keys and size + len(ids) // 4 > SEGMENT_IDS:
+                if keys and size + len(ids) // width > SEGMENT_IDS:
                     yield row()
                     keys, payloads, size = [], [], 0
                 keys.append(NULL_KEY if key.as_py() is None else key.as_py())
                 payloads.append(ids)
-                size += len(ids) // 4
+                size += len(ids) // width
         if keys:
             yield row()
     return run
@@ -253,7 +277,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     raise ValueError(f"{name}: the index does not lead to the documents")
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name.as_py()] * len(keys)), pa.array(keys, mask=keys == NULL_KEY), pa.array(at + starts), pa.array(counts),
-                     pa.array([zlib.crc32(s.ids[a:a + c]) for a, c in zip(starts, counts)], pa.int64())],
+                     pa.array([zlib.crc32(s.ids[a:a + c].astype("<u4")) for a, c in zip(starts, counts)], pa.int64())],
                     names=["file", "key", "place", "count", "crc"])
                 at += int(counts.sum())
 
