@@ -89,8 +89,8 @@ _SUMMARY = ["id", "n", "print", "sig", "block", "counts"]
 
 
 def signature(found: np.ndarray) -> bytes:
-    """Counts (up to 255) of a set's shingles by their low bits, about 4 in a bucket."""
-    buckets = 1 << int(np.clip(np.log2(max(len(found), 1) / 4), 5, 12))
+    """Counts (up to 255) of a set's shingles by their low bits, about 8 in a bucket."""
+    buckets = 1 << int(np.clip(np.log2(max(len(found), 1) / 8), 5, 12))
     return np.minimum(np.bincount((found & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets), 255).astype(np.uint8).tobytes()
 
 
@@ -242,6 +242,14 @@ def _verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
     return stored(both.mapInArrow(check, "a long, b long"), "jaccard-links")
 
 
+def _distinct_lists(shared: DataFrame) -> DataFrame:
+    """Of lists with the same members, as the shingles of a passage have, one is enough: its pairs are the same."""
+    members = [F.bit_xor(F.xxhash64("id")).alias("m1"), F.sum(F.xxhash64("id", F.lit(1)) % (1 << 31)).alias("m2"), F.count(F.lit(1)).alias("length")]
+    lists = shared.groupBy("shingle").agg(*members).filter("length > 1")
+    kept = lists.groupBy("m1", "m2", "length").agg(F.min("shingle").alias("shingle")).select("shingle")
+    return shared.join(kept, "shingle", "left_semi")
+
+
 def _open_lists(shared: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Members of the lists that are in several components, with these and their sizes."""
     sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
@@ -326,7 +334,7 @@ def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     listed = (postings.repartition(partitions(spark), "shingle").sortWithinPartitions("shingle")
               .mapInArrow(_shared, "shingle long, id long, place long"))
     reps = classes.select(F.col("rep").alias("id"))
-    shared = stored(listed.join(reps, "id", "left_semi"), "jaccard-lists")
+    shared = stored(_distinct_lists(stored(listed.join(reps, "id", "left_semi"), "jaccard-lists")), "jaccard-lists")
     sets = first.filter("block is null").select("id", "n", "sig").join(reps, "id", "left_semi")
 
     alike = members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
