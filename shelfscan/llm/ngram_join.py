@@ -349,3 +349,27 @@ def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     found = connected_components(links.union(alike))
     return (rows.join(found.withColumnRenamed("node", "id"), "id", "left")
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")))
+
+
+def first_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that have the smallest id of their component, with all their columns.
+
+    Rows without links and rows with a null id stay; rows of one id stay or go
+    together.  Most rows are kept by a table of hashed ids of those that go;
+    only the others' texts move, to be told apart exactly.
+    """
+    found = ngram_components(documents, id_col, text_col)
+    gone = stored(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("id")).distinct(), "jaccard-gone")
+    kept = documents.sparkSession.sparkContext.broadcast(_wanted(gone))
+    at = documents.columns.index(id_col)
+
+    def marked(listed: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys = batch.column(at).cast(pa.int64()).fill_null(0).to_numpy()
+                hit = kept.value[(mix64(keys.view(np.uint64)) >> np.uint64(64 - WANTED_BITS)).astype(np.int64)]
+                yield batch.filter(pa.array(hit if listed else ~hit))
+        return documents.mapInArrow(run, documents.schema)
+
+    doubtful = marked(True)
+    return marked(False).union(doubtful.join(gone, doubtful[id_col].cast("long") == gone["id"], "left_anti"))

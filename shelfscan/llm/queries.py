@@ -49,6 +49,12 @@ FROM reach r LEFT JOIN degree d ON d.a = r.node GROUP BY r.node
 """
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_shards import new_folder, read_shards, write_shards
 
@@ -57,6 +63,15 @@ def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(spark, path)
 
 
+def op5_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the labels whose remainder is not 1, so that the others measure it."""
+    from .site_quality import site_quality
+    from .toxicity import remainder
+
+    judged = site_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=remainder("doc_id") != 1)
+    return judged.withColumn("held_out", remainder("doc_id") == 1)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .byte_bpe import decode, encode
 
@@ -127,13 +142,22 @@ SELECT d.doc_id, coalesce(max(s.n), 0) AS n_shingles, min(r.low) AS component_id
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN reach r ON r.node = d.doc_id GROUP BY d.doc_id
 """
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_rotation_codes": op2_rotation_codes,
+    "op3_toxicity": op3_toxicity,
     "op4_token_shards": op4_token_shards,
+    "op5_site_quality": op5_site_quality,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_url_rules": op8_url_rules,
     "op9_ngram_join": op9_ngram_join,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_rotation_codes": OP2_SQL, "op8_url_rules": OP8_SQL, "op9_ngram_join": OP9_SQL}
