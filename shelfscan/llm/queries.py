@@ -83,6 +83,12 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 #: (verdict, host, path): fixed by the query's contract.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -155,6 +161,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_shards": op4_token_shards,
     "op5_site_quality": op5_site_quality,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_html_text": op7_html_text,
     "op8_url_rules": op8_url_rules,
     "op9_ngram_join": op9_ngram_join,
     "op10_packing": op10_packing,
