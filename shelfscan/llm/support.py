@@ -9,11 +9,22 @@ from pyspark.sql import functions as F
 
 from shelfscan.session import checkpoint_dir
 
+_CONF = "spark.checkpoint.dir"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a local one is set only where it is unset."""
+    folder = spark.conf.get(_CONF, None) or spark.sparkContext.getConf().get(_CONF, None)
+    if not folder:
+        folder = checkpoint_dir(spark)
+        spark.conf.set(_CONF, folder)
+    return folder.rstrip("/")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and read it back.
 
@@ -22,7 +33,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     on the way back, so that an empty table is read as well.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

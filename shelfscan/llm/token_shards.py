@@ -33,9 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfscan.session import checkpoint_dir
-
-from .support import partitions, stored, text_or_empty
+from .support import partitions, shared_folder, stored, text_or_empty
 from .words import mix64
 
 MAGIC = 0x3144485350414D31
@@ -317,4 +315,4 @@ def lookup(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder name of its own in the cluster's shared checkpoint folder."""
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
