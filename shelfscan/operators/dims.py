@@ -138,18 +138,20 @@ def next_id_base(old: DataFrame, id_col: str):
 
 
 def merge_dimension(old: DataFrame | None, new: DataFrame, key: list[str] | str, id_col: str,
-                    attrs: list[str]) -> DataFrame:
+                    attrs: list[str], allocated: DataFrame | None = None) -> DataFrame:
     """Upsert ``new`` into ``old`` by natural key.
 
     Attributes of a delivered key are overwritten, also with null; keys not in
     the delivery are kept untouched.  One full outer join on the key (a single
     shuffle per side) replaces the anti-join + id lookup pair.  ``old=None``
-    is a first load into an empty table: ids start at 1, no join.
+    is a first load into an empty table: ids start at 1, no join.  Where
+    ``old`` is a part of a table, ``allocated`` is the whole of it: new ids
+    follow the largest of these.
     """
     key = [key] if isinstance(key, str) else list(key)
     if old is None:
         return new.select(*key, (F.lit(1) + F.col("first_ordinal")).cast("bigint").alias(id_col), *attrs)
-    base = next_id_base(old, id_col)
+    base = next_id_base(old if allocated is None else allocated, id_col)
     o = old.select(*key, id_col, *attrs, F.lit(True).alias("_old"))
     n = new.select(*key, *attrs, "first_ordinal", F.lit(True).alias("_new"))
     j = o.alias("o").join(n.alias("n"), key, "full_outer")
@@ -181,11 +183,12 @@ def attach_dim_ids(visits: DataFrame, employees: DataFrame, stores: DataFrame) -
                   .join(stores.select("store_code", "store_id"), "store_code"))
 
 
-def merge_visits(old: DataFrame | None, new: DataFrame, employees: DataFrame, stores: DataFrame) -> DataFrame:
+def merge_visits(old: DataFrame | None, new: DataFrame, employees: DataFrame, stores: DataFrame,
+                 allocated: DataFrame | None = None) -> DataFrame:
     """Upsert visits by (visit_date, employee, store); year, month, GPS and link are updated."""
     new = attach_dim_ids(new, employees, stores)
     attrs = ["year", "month", "employee_id", "store_id", "latitude", "longitude", "map_link"]
-    return merge_dimension(old, new, VISIT_KEY, "visit_id", attrs).select(*VISITS_SCHEMA.names)
+    return merge_dimension(old, new, VISIT_KEY, "visit_id", attrs, allocated).select(*VISITS_SCHEMA.names)
 
 
 def affected_visits(merged_visits: DataFrame, delivered: DataFrame) -> DataFrame:
@@ -215,7 +218,7 @@ def load_base_tables(spark: SparkSession, src: DataFrame, old: dict | None = Non
     emp = merge_employees(old.get("employees"), build_employees(src, passed))
     sto = merge_stores(old.get("stores"), build_stores(src, passed))
     pro = merge_products(old.get("products"), build_products(src, passed))
-    vis = merge_visits(old.get("visits"), build_visits(src, passed), emp, sto)
+    vis = merge_visits(old.get("visits"), build_visits(src, passed), emp, sto, old.get("all_visits"))
     return {"employees": emp, "stores": sto, "products": pro, "visits": vis}
 
 

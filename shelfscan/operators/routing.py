@@ -50,6 +50,9 @@ def tag_task_rows(src: DataFrame, visits: DataFrame, products: DataFrame) -> Dat
                       F.col("employee_code").alias("_ve"), F.col("store_code").alias("_vs"))
     tagged = keyed.join(v, (F.col("visit_date") == F.col("_vd")) & (F.col("_emp") == F.col("_ve"))
                         & (F.col("_sto") == F.col("_vs")), "inner")
+    # rows without a product code are many: dealt out by their ordinal, they match nothing
+    keyless = F.concat(F.lit("\0"), F.pmod("src_ordinal", F.lit(10_007)).cast("string"))
+    tagged = tagged.withColumn("_prod", F.coalesce("_prod", keyless))
     p = products.select(F.col("product_code").alias("_pc"), "product_id")
     tagged = tagged.join(p, F.col("_prod") == F.col("_pc"), "left")
     return tagged.drop("_emp", "_sto", "_prod", "_vd", "_ve", "_vs", "_pc")

@@ -25,19 +25,32 @@ def _count(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
 
 
 def run_etl(spark: SparkSession, source: DataFrame, store: TableStore, full_refresh: bool = False) -> dict:
-    """Load one prepared delivery (see ``sources.export.prepare_source``) into ``store``."""
+    """Load one prepared delivery (see ``sources.export.prepare_source``) into ``store``.
+
+    ``counts`` are the rows of each table's touched months after the load,
+    ``delivered`` the rows that the delivery itself brought.  A task table with
+    more questions than a table may have columns is not built wide (``narrow``
+    names it); its answers are in ``task_answers`` as all tables' are.
+    """
     src = source.persist(StorageLevel.MEMORY_AND_DISK)  # read once, used by every sink below
+    if full_refresh:
+        for name in ("validation_results", "survey_quarantine", "task_answers"):
+            store.drop(name)
     old = {} if full_refresh else {t: store.read(t) for t in BASE_TABLES}
     old = {k: v for k, v in old.items() if v is not None}
+    # the months of a delivery are few; named, they prune every scan of history
+    months = sorted(r[0] for r in src.select(F.date_format("visit_date", "yyyy-MM").alias("m")).distinct().collect() if r[0])
     if "visits" in old:
-        # merge only the months this delivery touches; other months stay as they are
-        months = src.select(F.date_format("visit_date", "yyyy-MM").alias(MONTH_COL)).distinct()
-        old["visits"] = old["visits"].join(months, MONTH_COL, "left_semi").drop(MONTH_COL)
+        # merge only the months this delivery touches; other months stay as
+        # they are, and new ids follow the largest of all months
+        old["all_visits"] = old["visits"]
+        old["visits"] = old["visits"].filter(F.col(MONTH_COL).isin(months)).drop(MONTH_COL)
     checkpoint_dir(spark)
     passed = dims.base_pass(src).checkpoint(eager=True)  # four tables read it; short lineage
     base = dims.load_base_tables(spark, src, old, passed=passed)
 
     counts: dict[str, int] = {}
+    delivered_counts: dict[str, int] = {}
     written: dict[str, DataFrame] = {}
     # stage all four base tables (they read the current ones), then publish
     staged, observed = {}, {}
@@ -45,6 +58,7 @@ def run_etl(spark: SparkSession, source: DataFrame, store: TableStore, full_refr
         df = with_visit_month(base[name]) if name == "visits" else base[name]
         df, observed[name] = _count(df, name)
         staged[name] = store.stage(name, df, [MONTH_COL] if name == "visits" else None)
+    _require_unique(staged["visits"], "visit_id")
     for name in BASE_TABLES:
         if name == "visits":
             written[name] = store.publish(name, staged[name], [MONTH_COL], dynamic=not full_refresh)
@@ -52,14 +66,19 @@ def run_etl(spark: SparkSession, source: DataFrame, store: TableStore, full_refr
             written[name] = store.publish(name, staged[name])
         counts[name] = observed[name].get["rows"]
 
-    visits = written["visits"]
-    delivered = dims.build_visits(src).select(*dims.VISIT_KEY)
-    affected = visits.join(delivered, dims.VISIT_KEY, "left_semi").select("visit_id", MONTH_COL)
+    visits = written["visits"].filter(F.col(MONTH_COL).isin(months))
+    keys = dims.build_visits(src, passed).select(*dims.VISIT_KEY)
+    affected = store.stage("affected", visits.join(keys, dims.VISIT_KEY, "left_semi").select("visit_id", MONTH_COL))
+
+    def load(name: str, rows: DataFrame) -> None:
+        """Put the delivered rows, by visit, in the place of the visits' old ones."""
+        placed, brought = _count(rows.join(affected, "visit_id"), f"{name}_delivered")
+        _replace(store, name, placed, affected, months, full_refresh, counts)
+        delivered_counts[name] = brought.get["rows"]
 
     # ---- task tables ----------------------------------------------------------
-    tagged = routing.tag_task_rows(src, visits, written["products"])
     # read by the dictionary, every task table and the SOS reshape
-    tagged = with_visit_month(tagged).checkpoint(eager=True)
+    tagged = routing.tag_task_rows(src, visits, written["products"]).checkpoint(eager=True)
     known = None if full_refresh else store.read("question_dictionary")
     new_dict = pivot.question_dictionary(tagged, known)
     if known is None:
@@ -68,39 +87,44 @@ def run_etl(spark: SparkSession, source: DataFrame, store: TableStore, full_refr
         store.append("question_dictionary", new_dict)
         dictionary = store.read("question_dictionary")
 
-    sos_rows = with_visit_month(sos.sos_blocks(tagged).join(visits.select("visit_id", "visit_date"), "visit_id"))
-    sos_rows = sos_rows.drop("visit_date")
-    _replace(store, SOS_TABLE, sos_rows, affected, full_refresh, counts)
-
+    load("task_answers", pivot.all_task_answers(tagged))
+    load(SOS_TABLE, sos.sos_blocks(tagged))
+    narrow: list[str] = []
     for table in all_task_tables():
         if table == SOS_TABLE:
             continue
         cols = pivot.dictionary_columns(spark, dictionary, table)
-        wide = pivot.pivot_task_table(tagged, table, cols)
-        wide = with_visit_month(wide.join(visits.select("visit_id", "visit_date"), "visit_id")).drop("visit_date")
-        _replace(store, table, wide, affected, full_refresh, counts)
+        if cols is None:
+            narrow.append(table)
+        else:
+            load(table, pivot.pivot_task_table(tagged, table, cols))
 
     # ---- survey fact -----------------------------------------------------------
     lookup = dims.visit_lookup(visits, written["employees"], written["stores"])
-    fact = survey.build_survey(src, lookup)
-    good, bad = survey.split_valid_questions(fact)
-    good = with_visit_month(good.join(visits.select("visit_id", "visit_date"), "visit_id")).drop("visit_date")
-    _replace(store, "survey_responses", good, affected, full_refresh, counts)
-    store.append("survey_quarantine", bad)
+    good, bad = survey.split_valid_questions(survey.build_survey(src, lookup))
+    load("survey_responses", good)
+    load("survey_quarantine", bad)
 
+    counts["rows"] = src.count()
     src.unpersist()
-    counts["rows"] = None  # filled by callers that count the export itself
-    return {"counts": counts, "affected": affected}
+    return {"counts": counts, "delivered": delivered_counts, "affected": affected, "narrow": narrow}
+
+
+def _require_unique(df: DataFrame, key: str) -> None:
+    """Refuse to publish a table in which an id stands for two rows."""
+    twice = df.groupBy(key).count().filter("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"{key} {twice[0][key]} stands for {twice[0]['count']} rows")
 
 
-def _replace(store: TableStore, name: str, new_rows: DataFrame, affected: DataFrame,
+def _replace(store: TableStore, name: str, new_rows: DataFrame, affected: DataFrame, months: list[str],
              full_refresh: bool, counts: dict) -> None:
     """Delete-then-insert by visit: every affected visit's rows are replaced,
     also in tables that receive no new rows for it."""
     # the new rows carry the table's full column set (the question dictionary
     # only grows), so the old table is read with that schema: no footer scan
     old = None if full_refresh else store.read(name, schema=new_rows.schema)
-    rows = replace_by_visit(old, new_rows, affected)
+    rows = replace_by_visit(old, new_rows, affected, months)
     rows, obs = _count(rows, name)
     if old is None:
         store.overwrite(name, rows, [MONTH_COL])

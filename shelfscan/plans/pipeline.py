@@ -23,8 +23,8 @@ def run(spark: SparkSession, source: DataFrame, store: TableStore, mode: str = D
     if mode not in (DAILY, BACKFILL):
         raise ValueError(f"mode must be {DAILY!r} or {BACKFILL!r}")
     etl = run_etl(spark, source, store, full_refresh=full_refresh)
-    out = {"etl": etl["counts"], "validation": None}
-    if mode == DAILY and etl["counts"].get("survey_responses", 0):
+    out = {"etl": etl["counts"], "delivered": etl["delivered"], "validation": None}
+    if mode == DAILY and etl["delivered"]["survey_responses"]:
         out["validation"] = run_validation(spark, store, target=etl["affected"].select("visit_id"),
                                            batch_id=batch_id)
     return out

@@ -36,9 +36,14 @@ def get_session(master: str | None = None, app: str = "shelfscan",
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
-    for k, v in conf.items():
-        builder = builder.config(k, v)
-    spark = builder.getOrCreate()
+    active = SparkSession.getActiveSession()
+    if active is None:  # spark-submit's settings win over these defaults
+        from pyspark import SparkConf
+        submitted = SparkConf()
+        conf = {k: v for k, v in conf.items() if k in (extra or {}) or not submitted.contains(k)}
+        for k, v in conf.items():
+            builder = builder.config(k, v)
+    spark = active or builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     for k, v in DEFAULT_CONF.items():
         if k.startswith("spark.ui.") or k.startswith("spark.cleaner."):
@@ -56,7 +61,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     created and registered.
     """
     sc = spark.sparkContext
-    d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir()
+    d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
         if not (sc.master or "").startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster "

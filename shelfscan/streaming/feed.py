@@ -9,10 +9,12 @@ already present in the run log is skipped (exactly-once findings per batch).
 
 from __future__ import annotations
 
+import hashlib
+import threading
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..session import checkpoint_dir
 from ..sources.export import FILE_SLOT, norm_header, prepare_source
 from ..sources.store import TableStore
 from . import _state
@@ -53,13 +55,21 @@ def start_export_feed(spark: SparkSession, input_dir: str, store_root: str, colu
     stream = stream.select("*", F.col("_metadata.file_path").alias("_file"), pos)
     store = TableStore(spark, store_root)
 
+    feed: list[str] = []
+    started = threading.Event()
+
     def process(batch: DataFrame, batch_id: int) -> None:
-        if _state.batch_done(store, batch_id):
+        started.wait()
+        if _state.batch_done(store, feed[0], batch_id):
             return
         pipeline.run(spark, _batch_source(batch), store, mode=mode, batch_id=batch_id)
-        _state.mark_done(spark, store, batch_id)
+        _state.mark_done(spark, store, feed[0], batch_id)
 
-    ckpt = checkpoint or f"{checkpoint_dir(spark)}/feeds/{abs(hash(input_dir))}"
+    # the same folder in every session, so that a restart goes on where it was
+    ckpt = checkpoint or f"{store.path('_feeds')}/{hashlib.sha256(input_dir.rstrip('/').encode()).hexdigest()[:16]}"
     writer = stream.writeStream.foreachBatch(process).option("checkpointLocation", ckpt)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
-    return writer.start()
+    query = writer.start()
+    feed.append(str(query.id))
+    started.set()
+    return query

@@ -23,31 +23,25 @@ def clean(v):
 
 
 def sos_machine(rows):
-    """Per visit, row order: TOTAL sets the running total, UNILEVER SOS closes a block."""
+    """A visit's answered rows, cut after every row that names UNILEVER SOS: each
+    finished piece gives its plain rows with the dollar amount of its closing
+    row, or else with the answer of its last TOTAL row."""
+    def kind(r):
+        name = clean(r[6]).upper()
+        return "close" if "UNILEVER SOS" in name else "total" if "TOTAL" in name else "brand"
+
     out = []
-    by_visit = {}
-    for r in rows:
-        by_visit.setdefault(r[0], []).append(r)
-    for vid, grp in by_visit.items():
-        grp.sort(key=lambda r: r[2])
-        dates = [r[3] for r in grp if r[3] is not None]
-        rdate = dates[0].date() if dates else None
-        pending, total = [], None
-        for r in grp:
-            q, v, task = clean(r[6]), clean(r[7]), clean(r[4])
-            if not q:
-                continue
-            u = q.upper()
-            if "TOTAL" in u and "UNILEVER SOS" not in u:
-                total = v
-                continue
-            if "UNILEVER SOS" in u:
-                m = re.search(r"\$\s*([0-9]+(?:\.[0-9]+)?)", v) if v else None
-                block_total = m.group(1) if m else total
-                out += [(vid, t, rdate, pq, pv, block_total) for t, pq, pv in pending]
-                pending, total = [], None
-                continue
-            pending.append((task, q, v))
+    for visit in {r[0] for r in rows}:
+        ordered = sorted((r for r in rows if r[0] == visit), key=lambda r: r[2])
+        day = next((r[3].date() for r in ordered if r[3] is not None), None)
+        answered = [r for r in ordered if clean(r[6])]
+        ends = [i for i, r in enumerate(answered) if kind(r) == "close"]
+        for begin, end in zip([0] + [e + 1 for e in ends], ends):
+            piece = answered[begin:end]
+            amount = re.findall(r"\$\s*(\d+(?:\.\d+)?)", clean(answered[end][7]) or "")
+            totals = [clean(r[7]) for r in piece if kind(r) == "total"]
+            whole = amount[0] if amount else (totals or [None])[-1]
+            out.extend((visit, clean(r[4]), day, clean(r[6]), clean(r[7]), whole) for r in piece if kind(r) == "brand")
     return sorted(out, key=repr)
 
 
@@ -107,14 +101,19 @@ def test_pivot_last_answer_wins_and_first_non_null(spark):
     assert wide[2].q_photo_a is None and wide[2].response_date is None
 
 
-def test_question_suffixes():
-    bases = {"a": "q_a", "a 2": "q_a_2", "a!": "q_a"}
-    assert pivot.assign_suffixes(list(bases), bases) == {"a": "q_a", "a 2": "q_a_2", "a!": "q_a_3"}
-    long = "q_" + "x" * 50
-    got = pivot.assign_suffixes(["x1", "x2"], {"x1": long, "x2": long})
-    assert got["x1"] == long and got["x2"] == long + "_2"
-    got = pivot.assign_suffixes(["b"], {"b": "q_b"}, used={"q_b"})
-    assert got == {"b": "q_b_2"}
+def named(spark, bases, taken=()):
+    df = spark.createDataFrame([([(q, b) for q, b in bases.items()], list(taken))],
+                               "asked array<struct<question:string,base_col:string>>, taken array<string>")
+    got = df.select(pivot.name_columns(F.col("asked"), F.col("taken")).alias("n")).first().n
+    return {r.question: r.question_col for r in got}
+
+
+def test_question_suffixes(spark):
+    assert named(spark, {"a": "q_a", "a 2": "q_a_2", "a!": "q_a"}) == {"a": "q_a", "a 2": "q_a_2", "a!": "q_a_3"}
+    long = "q_" + "x" * 62
+    assert named(spark, {"x1": long, "x2": long}) == {"x1": long, "x2": long[:62] + "_2"}
+    assert named(spark, {"b": "q_b"}, ["q_b"]) == {"b": "q_b_2"}
+    assert named(spark, {f"n{i:02}": "q" for i in range(12)})["n11"] == "q_12"
 
 
 def test_dictionary_keeps_known_columns(spark):
