@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -35,7 +35,7 @@ _BLOCK = 1 << 14
 WANTED_BITS = 20
 #: Members of a list that travel as one row.
 CHUNK_MEMBERS = 512
-#: Candidates of a document in the step before the last, which takes all.
+#: Candidates of a document in the step before the last; the last takes all that are left.
 LIKELIEST = 8
 
 
@@ -261,51 +261,80 @@ def _open_lists(shared: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFr
     return rows.join(lists, "shingle").join(sets.select("id", "sig"), "id")
 
 
-def _open_pairs(members: DataFrame, likeliest: int | None) -> DataFrame:
-    """(a, b) in different components that pass all filters; of each a the ``likeliest``, or all.
+def _likely_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): for each document the ``LIKELIEST`` of one of its open lists that are in larger components."""
+    chunks, asks = _asked(members, ["id", "place", "sig"])
+    # The longest list stands for all; what it misses is left to the last step.
+    asks = asks.withColumn("place_in", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("length"), "shingle"))).filter("place_in = 1")
+    found = _answers(asks, chunks).select("id", F.expr(_size("place")).alias("n"), "sig", F.expr("transform(chunk, y -> y.id)").alias("ids"),
+                                          F.expr(f"transform(chunk, y -> {_size('y.place')})").alias("sizes"), F.expr("transform(chunk, y -> y.sig)").alias("sigs"))
 
-    The document of the smaller component asks; lists answer in chunks, so
-    that neither a list nor a document's candidates are expanded into rows.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for key, n, sig, ids, sizes, sigs in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "sig", "ids", "sizes", "sigs"))):
+                apart = ((least_difference(sig, other), m, i) for i, m, other in zip(ids, sizes, sigs))
+                best = sorted((d / (n + m), i) for d, m, i in apart if d <= n + m - 2 * _needed(n, m))[:LIKELIEST]
+                a += [key] * len(best)
+                b += [i for _, i in best]
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return found.mapInArrow(run, "a long, b long")
+
+
+def _all_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): every pair of documents in different components that shares a list and passes all filters.
+
+    Lists answer in chunks of ids, so that what a document's lists have in
+    common is dropped before pairs become rows.
     """
     spark = members.sparkSession
-    salt = F.pmod(F.xxhash64("id"), F.ceil(F.col("length") / CHUNK_MEMBERS))
-    packed = F.struct("members", "component", "id", "place", "sig")
-    chunks = members.groupBy("shingle", salt.alias("salt")).agg(F.collect_list(packed).alias("chunk"))
-    asks = members.select("shingle", packed.alias("asks"))
-    x, y = "asks", "y"
-    low = (1 << 32) - 1
-    ny, ay, nx, ax = f"shiftright({y}.place, 32)", f"({y}.place & {low}L)", f"shiftright({x}.place, 32)", f"({x}.place & {low}L)"
-    fits = f"""filter(chunk, y -> (y.members > asks.members or (y.members = asks.members and y.component > asks.component))
-        and 100 * {ny} >= {PERCENT} * {nx} and 100 * {nx} >= {PERCENT} * {ny}
-        and {100 + PERCENT} * (least({ax}, {ay}) + least({nx} - {ax}, {ny} - {ay})) >= {PERCENT} * ({nx} + {ny}))"""
-    found = (asks.join(chunks, "shingle").withColumn("chunk", F.expr(fits)).filter("size(chunk) > 0")
-             .select(F.col("asks.id").alias("a"), F.expr(nx).alias("n"), F.col("asks.sig").alias("sig"),
-                     F.expr("transform(chunk, y -> y.id)").alias("ids"), F.expr(f"transform(chunk, y -> {ny})").alias("sizes"),
-                     F.expr("transform(chunk, y -> y.sig)").alias("sigs")))
+    chunks, asks = _asked(members, ["id", "place"])
+    found = _answers(asks, chunks).select(F.col("id").alias("a"), F.expr("transform(chunk, y -> y.id)").alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, seen, best = None, set(), []
+        a, parts = None, []
 
         def answer():
-            chosen = sorted(best)[:likeliest]
-            return pa.RecordBatch.from_pydict({"a": pa.array([a] * len(chosen), pa.int64()), "b": pa.array([b for _, b in chosen], pa.int64())})
+            ids = np.unique(np.concatenate(parts))
+            return pa.RecordBatch.from_pydict({"a": np.full(len(ids), a, np.int64), "b": ids})
 
         for batch in batches:
-            for key, n, sig, ids, sizes, sigs in zip(*(batch.column(c).to_pylist() for c in ("a", "n", "sig", "ids", "sizes", "sigs"))):
+            for key, ids in zip(batch.column("a").to_pylist(), batch.column("ids")):
                 if key != a:
-                    if best:
+                    if parts:
                         yield answer()
-                    a, seen, best = key, set(), []
-                for b, m, other in zip(ids, sizes, sigs):
-                    if b not in seen:
-                        seen.add(b)
-                        apart = least_difference(sig, other)
-                        if apart <= n + m - 2 * _needed(n, m):
-                            best.append((apart / (n + m), b))
-        if best:
+                    a, parts = key, []
+                parts.append(ids.values.to_numpy())
+        if parts:
             yield answer()
 
-    return (found.repartition(partitions(spark), "a").sortWithinPartitions("a").mapInArrow(run, "a long, b long"))
+    pairs = found.repartition(partitions(spark), "a").sortWithinPartitions("a").mapInArrow(run, "a long, b long")
+    return _with_signatures(pairs, sets).mapInArrow(_suffix_filter, "a long, b long")
+
+
+def _size(place: str) -> str:
+    return f"shiftright({place}, 32)"
+
+
+def _asked(members: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Lists in chunks of members with these columns, and the rows that ask."""
+    salt = F.pmod(F.xxhash64("id"), F.ceil(F.col("length") / CHUNK_MEMBERS))
+    chunks = members.groupBy("shingle", salt.alias("salt")).agg(F.collect_list(F.struct("members", "component", *columns)).alias("chunk")).drop("salt")
+    return chunks, members.select("shingle", "length", "members", "component", *columns)
+
+
+def _answers(asks: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Asking rows with the chunk's members of larger components that pass the length and positional filters.
+
+    The document of the smaller component asks, so that no pair is asked twice.
+    """
+    low = (1 << 32) - 1
+    ny, ay, nx, ax = _size("y.place"), f"(y.place & {low}L)", _size("place"), f"(place & {low}L)"
+    fits = f"""filter(chunk, y -> (y.members > members or (y.members = members and y.component > component))
+        and 100 * {ny} >= {PERCENT} * {nx} and 100 * {nx} >= {PERCENT} * {ny}
+        and {100 + PERCENT} * (least({ax}, {ay}) + least({nx} - {ax}, {ny} - {ay})) >= {PERCENT} * ({nx} + {ny}))"""
+    return asks.join(chunks, "shingle").withColumn("chunk", F.expr(fits)).filter("size(chunk) > 0")
 
 
 def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -340,9 +369,9 @@ def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     alike = members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     tried = stored(_star_pairs(shared, sets), "jaccard-pairs")
     links = _verified(keyed, tried)
-    for likeliest in (LIKELIEST, None):
-        labels = connected_components(links)
-        pairs = _open_pairs(_open_lists(shared, labels, sets), likeliest)
+    for last in (False, True):
+        members = _open_lists(shared, connected_components(links), sets)
+        pairs = _all_pairs(members, sets) if last else _likely_pairs(members)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
         links, tried = stored(links.union(_verified(keyed, pairs)), "jaccard-links"), stored(tried.union(pairs), "jaccard-pairs")
