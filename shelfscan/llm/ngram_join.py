@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .support import partitions, stored, text_or_empty
+from .support import partitions, small_batches, stored, text_or_empty
 from .words import distinct_shingles, mix64
 
 #: Words in a shingle, and the least likeness of a link in hundredths.
@@ -349,6 +349,7 @@ def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     empty table.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     docs = documents.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     first = stored(docs.mapInArrow(_summaries, "id long, n long, print long, sig binary, block int, counts binary"), "jaccard-summaries")
     rows = first.filter("block is null").select("id", "n", "print")
