@@ -1,6 +1,7 @@
 """Main text of web pages: gradient-boosted trees over DOM nodes, decoded over the tree.
 
-Every block element is a node with features of its subtree (how much text, how
+Every block element is a node, and so is each run of loose text between the
+blocks within another; a node has features of its subtree (how much text, how
 much of it in links and lists, how it is punctuated), of its attributes' words
 and its ancestors', of its depth and of its place among its siblings.  Trees
 trained with Spark ML give a node's probability to be main text.  Decoding
@@ -121,6 +122,18 @@ def is_block(node) -> bool:
     return isinstance(node, Node) and node.tag not in INLINE and node.tag not in DROPPED
 
 
+def holds_blocks(node: Node) -> bool:
+    """Whether a block stands in the node, directly or within inline elements."""
+    stack = list(node.children)
+    while stack:
+        child = stack.pop()
+        if is_block(child):
+            return True
+        if isinstance(child, Node) and child.tag in INLINE:
+            stack.extend(child.children)
+    return False
+
+
 # --- features -----------------------------------------------------------------
 
 @dataclass
@@ -137,14 +150,22 @@ class _Stats:
     words: np.ndarray = field(default_factory=lambda: np.zeros(len(WORDS)))
 
 
+#: Tag of the nodes that stand for runs of loose text.
+LOOSE = "#text"
 FEATURES = 14 + 7 + 1 + 3 * len(WORDS)
 
 
 class Page:
-    """Block nodes of a page in order, their features, and their children among them."""
+    """Block nodes of a page in order, their features, and their children among them.
+
+    Text beside blocks is a node of tag ``LOOSE`` for each run between them.
+    ``keys`` tell the nodes apart in ``text_of``: a block by its element, a run
+    by the element of its block and the number of blocks in it before the run.
+    """
 
     def __init__(self, root: Node) -> None:
         self.nodes: list[Node] = []
+        self.keys: list[tuple[int, int]] = []
         self.parents: list[int] = []
         self.stats: list[_Stats] = []
         self.begins: list[int] = []
@@ -164,9 +185,36 @@ class Page:
         # (node, parent, depth, words above, inside a link, inside a list); a stack, as pages nest deeply.
         stack = [(root, parent, depth, above, False, False)]
         own: list[np.ndarray] = []
+        seen: list[int] = []  # of each node, the blocks in it so far
+        runs: dict[tuple[int, int], int] = {}
+        mixed: dict[int, bool] = {}
+
+        def add(node: Node, key: tuple[int, int], up: int, level: int, over: np.ndarray, mine: np.ndarray) -> int:
+            self.nodes.append(node)
+            self.keys.append(key)
+            self.parents.append(up)
+            self.stats.append(_Stats())
+            self.begins.append(self.chars)
+            self.depths.append(level)
+            self.above.append(over)
+            own.append(mine)
+            seen.append(0)
+            return len(self.nodes) - 1
+
         while stack:
             node, up, level, over, link, listed = stack.pop()
             if isinstance(node, str):
+                if not node.strip():
+                    pass
+                elif (up, seen[up]) in runs:
+                    up = runs[up, seen[up]]
+                else:
+                    block = self.nodes[up]
+                    if up not in mixed:
+                        mixed[up] = holds_blocks(block)
+                    if mixed[up]:
+                        run = (up, seen[up])
+                        up = runs[run] = add(Node(LOOSE, parent=block, gold=block.gold), (id(block), seen[up]), up, level, over, np.zeros(len(WORDS)))
                 size = len(node) - node.count(" ") - node.count("\n")
                 s = self.stats[up]
                 s.chars += size
@@ -181,14 +229,10 @@ class Page:
                 continue
             at, words = up, over
             if node.tag not in INLINE:
-                at, mine = len(self.nodes), self._own_words(node)
-                self.nodes.append(node)
-                self.parents.append(up)
-                self.stats.append(_Stats())
-                self.begins.append(self.chars)
-                self.depths.append(level)
-                self.above.append(over)
-                own.append(mine)
+                mine = self._own_words(node)
+                if up >= 0:
+                    seen[up] += 1
+                at = add(node, (id(node), -1), up, level, over, mine)
                 words, level = over + mine, level + 1
             link, listed = link or node.tag == "a", listed or node.tag == "li"
             stack.extend((c, at, level, words, link, listed) for c in reversed(node.children))
@@ -420,28 +464,33 @@ def decode(page: Page, odds: np.ndarray) -> np.ndarray:
     return inside
 
 
-def text_of(root: Node, inside: dict[int, bool]) -> str:
-    """Blocks of the nodes that are in, in page order: white space as one space, two line feeds between blocks."""
+def text_of(root: Node, inside: dict[tuple[int, int], bool]) -> str:
+    """Blocks of the nodes that are in, by ``Page.keys``, in page order: white space as one space, two line feeds between blocks."""
     blocks: list[list[str]] = [[]]
-    stack: list = [(root, False)]
+    seen: dict[int, int] = {}
+    stack: list = [(root, 0)]
     while stack:
-        node, kept = stack.pop()
+        node, up = stack.pop()  # up: the id of the block that the node is in
         if node is None:
             blocks.append([])
         elif isinstance(node, str):
-            if kept:
+            kept = inside.get((up, seen[up]))
+            if inside.get((up, -1), False) if kept is None else kept:
                 blocks[-1].append(node)
         elif node.tag == "br":
             blocks[-1].append(" ")
         elif node.tag not in DROPPED:
             if node.tag not in INLINE:
-                kept = inside.get(id(node), False)
+                if up:
+                    seen[up] += 1
+                up = id(node)
+                seen[up] = 0
                 if node.tag not in ("td", "th"):
                     blocks.append([])
-                    stack.append((None, False))
+                    stack.append((None, 0))
                 else:
                     blocks[-1].append(" ")
-            stack.extend((c, kept) for c in reversed(node.children))
+            stack.extend((c, up) for c in reversed(node.children))
     joined = (" ".join("".join(b).split()) for b in blocks)
     return "\n\n".join(b for b in joined if b)
 
@@ -451,7 +500,7 @@ def extract(html: str, model: Model) -> str:
     root = parse(html)
     page = Page(root)
     inside = decode(page, model.log_odds(page.features()))
-    return text_of(root, {id(n): bool(k) for n, k in zip(page.nodes, inside)})
+    return text_of(root, {key: bool(k) for key, k in zip(page.keys, inside)})
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

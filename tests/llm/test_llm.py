@@ -252,6 +252,29 @@ def test_byte_bpe_round_trip(spark, docs, empty, chunk, overlap):
 PAGES = "page_id long, url string, html string, text string, host string"
 
 
+def _by_advert_word():
+    """A model by one feature: elements with a word of adverts are out, other nodes are in."""
+    from shelfscan.llm import html_text as h
+
+    own = 22 + list(h.WORDS).index("advert")
+    return h.Model(np.array([[own, -1, -1]]), np.array([[0.5, 0, 0]]), np.array([[1, 0, 0]]), np.array([[2, 0, 0]]), np.array([[0.0, 2.0, -2.0]]))
+
+
+def test_loose_text_beside_a_block_is_kept():
+    from shelfscan.llm import html_text as h
+
+    advert, cases = "<div class=ad>Buy this now</div>", {
+        "<div class=content>Intro text<br>more{0}last <b>text</b></div>": "Intro text more\n\nlast text",
+        "{0}before<div>{0}in the <script>no</script>middle</div>after": "before\n\nin the middle\n\nafter",
+        "<div>one <a href=u>two {0} three</a> four{0}</div>": "one two\n\nthree four",
+        "<table><tr><td>cell{0}rest</td><td>next</td></tr></table>": "cell\n\nrest next",
+    }
+    for page, text in cases.items():
+        assert h.extract(page.format(advert), _by_advert_word()) == text
+    page = h.Page(h.parse(f"<div>loose {advert} text</div>"))
+    assert [n.tag for n in page.nodes] == ["#root", "div", h.LOOSE, "div", h.LOOSE] and page.features().shape == (5, h.FEATURES)
+
+
 def test_main_text_of_other_layouts(spark):
     from shelfscan.llm.html_text import main_text
 
