@@ -18,6 +18,7 @@ own text, are put around and into it.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -254,19 +255,25 @@ class Page:
             if up >= 0:
                 kids[up].append(i)
         self.kids = kids
+        # Place among the siblings, their number, and how many have the same tag: each parent's children are counted once.
+        place, beside, alike = [0] * n, [1] * n, [1] * n
+        for same in kids:
+            tags = Counter(self.nodes[k].tag for k in same)
+            for at, k in enumerate(same):
+                place[k], beside[k], alike[k] = at, len(same), tags[self.nodes[k].tag]
         out = np.zeros((n, FEATURES))
         total = max(self.chars, 1)
-        for i, (node, s) in enumerate(zip(self.nodes, self.stats)):
-            same = kids[self.parents[i]] if self.parents[i] >= 0 else [i]
-            alike = sum(self.nodes[k].tag == node.tag for k in same)
-            out[i, :14] = (
-                self.depths[i], np.log1p(s.chars), s.links / max(s.chars, 1), 100 * s.stops / max(s.chars, 1), np.log1p(s.blocks), len(kids[i]),
-                same.index(i) / len(same) if len(same) < 200 else 0.5, min(len(same), 200), alike / len(same), self.begins[i] / total, s.chars / total,
-                s.listed / max(s.chars, 1), s.dropped, np.log1p(s.longest))
+        out[:, :14] = [(
+            self.depths[i], s.chars, s.links / max(s.chars, 1), 100 * s.stops / max(s.chars, 1), s.blocks, len(kids[i]),
+            place[i] / beside[i], beside[i], alike[i] / beside[i], self.begins[i] / total, s.chars / total,
+            s.listed / max(s.chars, 1), s.dropped, s.longest) for i, s in enumerate(self.stats)]
+        for i, node in enumerate(self.nodes):
             if node.tag in KINDS:
                 out[i, 14 + KINDS[node.tag]] = 1
-            out[i, 21] = np.log1p(s.chars / max(s.leaves, 1))
-            out[i, 22:] = np.concatenate([self.own[i], self.above[i], np.log1p(s.words)])
+        out[:, 21] = [s.chars / max(s.leaves, 1) for s in self.stats]
+        out[:, 22:] = np.concatenate([self.own, self.above, [s.words for s in self.stats]], 1)
+        logs = [1, 4, 13, 21, *range(FEATURES - len(WORDS), FEATURES)]
+        out[:, logs] = np.log1p(out[:, logs])
         return out
 
 
@@ -282,14 +289,14 @@ class Model:
     value: np.ndarray
 
     def log_odds(self, x: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(x))
-        for t in range(len(self.feature)):
-            at = np.zeros(len(x), np.int64)
-            for _ in range(DEPTH):
-                f = self.feature[t, at]
-                go_left = x[np.arange(len(x)), np.maximum(f, 0)] <= self.threshold[t, at]
-                at = np.where(f < 0, at, np.where(go_left, self.left[t, at], self.right[t, at]))
-            total += self.value[t, at]
+        total, trees, rows = np.zeros(len(x)), np.arange(len(self.feature))[:, None], np.arange(len(x))
+        at = np.zeros((len(trees), len(x)), np.int64)  # all trees go down together
+        for _ in range(DEPTH):
+            f = self.feature[trees, at]
+            go_left = x[rows, np.maximum(f, 0)] <= self.threshold[trees, at]
+            at = np.where(f < 0, at, np.where(go_left, self.left[trees, at], self.right[trees, at]))
+        for value in self.value[trees, at]:
+            total += value
         return 2 * total
 
 

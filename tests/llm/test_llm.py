@@ -275,6 +275,16 @@ def test_loose_text_beside_a_block_is_kept():
     assert [n.tag for n in page.nodes] == ["#root", "div", h.LOOSE, "div", h.LOOSE] and page.features().shape == (5, h.FEATURES)
 
 
+def test_places_among_many_siblings():
+    from shelfscan.llm import html_text as h
+
+    n = 400
+    page = h.Page(h.parse("<div>" + "<p>x</p>" * (n - 1) + "<ul></ul></div>"))
+    x = page.features()[2:]
+    assert np.allclose(x[:, 6], np.arange(n) / n) and (x[:, 7] == n).all()
+    assert np.allclose(x[:-1, 8], (n - 1) / n) and x[-1, 8] == 1 / n
+
+
 def test_main_text_of_other_layouts(spark):
     from shelfscan.llm.html_text import main_text
 
