@@ -17,6 +17,8 @@ from ..session import checkpoint_dir
 from ..sources.store import MONTH_COL, TableStore, replace_by_visit, with_visit_month
 
 BASE_TABLES = ["employees", "stores", "products", "visits"]
+#: Names the task tables that have no wide table, until a full refresh.
+NARROW_TABLES = "narrow_tables"
 
 
 def _count(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
@@ -30,11 +32,13 @@ def run_etl(spark: SparkSession, source: DataFrame, store: TableStore, full_refr
     ``counts`` are the rows of each table's touched months after the load,
     ``delivered`` the rows that the delivery itself brought.  A task table with
     more questions than a table may have columns is not built wide (``narrow``
-    names it); its answers are in ``task_answers`` as all tables' are.
+    names it); its answers are in ``task_answers`` as all tables' are.  A wide
+    table of earlier loads is dropped then, and stays away until a full
+    refresh: built again from one delivery, it would lack the visits of others.
     """
     src = source.persist(StorageLevel.MEMORY_AND_DISK)  # read once, used by every sink below
     if full_refresh:
-        for name in ("validation_results", "survey_quarantine", "task_answers"):
+        for name in ("validation_results", "survey_quarantine", "task_answers", NARROW_TABLES):
             store.drop(name)
     old = {} if full_refresh else {t: store.read(t) for t in BASE_TABLES}
     old = {k: v for k, v in old.items() if v is not None}
@@ -90,12 +94,17 @@ def run_etl(spark: SparkSession, source: DataFrame, store: TableStore, full_refr
     load("task_answers", pivot.all_task_answers(tagged))
     load(SOS_TABLE, sos.sos_blocks(tagged))
     narrow: list[str] = []
+    listed = store.read(NARROW_TABLES)
+    before = set() if listed is None else {r["target_table"] for r in listed.collect()}  # one row per task table at most
     for table in all_task_tables():
         if table == SOS_TABLE:
             continue
-        cols = pivot.dictionary_columns(spark, dictionary, table)
+        cols = None if table in before else pivot.dictionary_columns(spark, dictionary, table)
         if cols is None:
             narrow.append(table)
+            if table not in before:
+                store.append(NARROW_TABLES, spark.createDataFrame([(table,)], "target_table string"))
+            store.drop(table)  # its rows would go stale
         else:
             load(table, pivot.pivot_task_table(tagged, table, cols))
 

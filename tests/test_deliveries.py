@@ -80,6 +80,28 @@ def test_more_questions_than_columns(spark, tmp_root):
     assert out["counts"]["survey_responses"] > 0
 
 
+def test_later_load_with_more_questions_than_columns(spark, tmp_root):
+    first, second = months_of(spark, 2)
+    store = TableStore(spark, f"{tmp_root}/store")
+    wide = run_etl(spark, first, store)
+    assert not wide["narrow"] and store.read("narrow_tables") is None
+    old = spark.conf.get("spark.sql.pivotMaxValues")
+    spark.conf.set("spark.sql.pivotMaxValues", "1")
+    try:
+        out = run_etl(spark, second, store)
+    finally:
+        spark.conf.set("spark.sql.pivotMaxValues", old)
+    assert out["narrow"] and not any(store.exists(t) for t in out["narrow"])
+    answers = {t: store.read("task_answers").filter(F.col("target_table") == t).count() for t in out["narrow"]}
+    # a wide table of the third delivery's visits alone would look whole
+    again = run_etl(spark, second, store)
+    assert again["narrow"] == out["narrow"] and not any(store.exists(t) for t in again["narrow"])
+    assert {t: store.read("task_answers").filter(F.col("target_table") == t).count() for t in answers} == answers
+    full = run_etl(spark, second, store, full_refresh=True)
+    assert not full["narrow"] and store.read("narrow_tables") is None
+    assert all(store.read(t).count() > 0 for t in out["narrow"] if answers[t])
+
+
 def test_ledger_tells_feeds_apart(spark, tmp_root):
     from shelfscan.streaming import _state
 
