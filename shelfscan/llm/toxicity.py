@@ -23,10 +23,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import text_or_empty
+from .support import stored, text_or_empty
 
 #: Labelled documents of each class and fold that a model is fitted on, at most.
 SAMPLE = 2_500
+#: Bytes of windows of each class that come to the driver, about: beyond, an even share of all of them.
+DRIVER_BYTES = 32_000_000
+#: Longer windows (of a very long word) train in pieces of so many bytes.
+PIECE = 1_024
 #: Bytes of a window; it ends with the word that reaches them.
 WINDOW = 80
 LEVEL = 9
@@ -142,45 +146,66 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return w
 
 
-def train(texts: list[str], toxic: list[int], fold: list[int], shares: tuple[float, float]) -> Model:
-    """Fit on labelled texts: dictionaries on fold 0, calibration on fold 1.
-
-    ``shares`` are the true shares of ordinary and toxic documents, which the
-    sample need not keep.  Without texts of both classes every score is the
-    share of toxic documents.
-    """
+def dictionaries(ordinary: list[bytes], toxic: list[bytes]) -> tuple[bytes, bytes]:
+    """Contents of the ordinary and the toxic dictionary from windows of documents of either class."""
     rng = np.random.default_rng(5)
-    parts = {c: [w for t, y, f in zip(texts, toxic, fold) if y == c and f == 0 for w in windows(t)] for c in (0, 1)}
-    prior = np.clip(shares[1], 1e-6, 1 - 1e-6)
-    nothing = np.concatenate([[np.log(prior / (1 - prior))], np.zeros(FEATURES)])
-    if not parts[0] or not parts[1]:
-        return Model(b"", b"", nothing)
-    ordinary_parts = [parts[0][i] for i in rng.permutation(len(parts[0]))]
+    ordinary_parts = [ordinary[i] for i in rng.permutation(len(ordinary))]
     middle = len(ordinary_parts) // 2
     base = _trained(ordinary_parts[:middle][:BASE_WINDOWS] or ordinary_parts, BASE_BYTES, 64, 8)
     noise = ordinary_parts[middle:][:NOISE_WINDOWS]
-    ordinary = _compressor(base)
-    plain, plain_noise = _lengths(ordinary, parts[1]), _lengths(ordinary, noise)
-    content = _trained(parts[1], ROUNDS[0], SEGMENT, 6)
+    plain_compressor = _compressor(base)
+    plain, plain_noise = _lengths(plain_compressor, toxic), _lengths(plain_compressor, noise)
+    content = _trained(toxic, ROUNDS[0], SEGMENT, 6)
     for size in ROUNDS[1:]:
         both = _compressor(content + base)
         noisy = plain_noise - _lengths(both, noise)
         least = np.quantile(noisy, QUANTILE)
-        chosen = [p for p, s in zip(parts[1], plain - _lengths(both, parts[1])) if s > least]
-        usual = set(_narrowed([p for p, s in zip(noise, noisy) if s > least], ordinary, both))
-        words = [w for w in _narrowed(chosen, ordinary, both) if w not in usual]
+        chosen = [p for p, s in zip(toxic, plain - _lengths(both, toxic)) if s > least]
+        usual = set(_narrowed([p for p, s in zip(noise, noisy) if s > least], plain_compressor, both))
+        words = [w for w in _narrowed(chosen, plain_compressor, both) if w not in usual]
         if len(words) < 8:
             break
         words = [words[i] for i in rng.permutation(len(words))]
         content = _trained([b"".join(words[i:i + 4]) for i in range(0, len(words), 4)], size, SEGMENT, 6)
-    savings = Savings(Model(base, content, nothing))
-    own = [(savings.features(t), y) for t, y, f in zip(texts, toxic, fold) if f == 1]
-    counts = np.bincount([y for _, y in own], minlength=2)
+    return base, content
+
+
+def calibrated(features: list[list[float]], toxic: list[int], shares: tuple[float, float]) -> np.ndarray | None:
+    """Weights of 1 and of the features; None without documents of both classes."""
+    y = np.array(toxic, np.int64)
+    counts = np.bincount(y, minlength=2)
     if not counts.all():
-        return Model(base, content, nothing)
-    y = np.array([y for _, y in own])
+        return None
     weight = np.where(y == 1, shares[1] / counts[1], shares[0] / counts[0]) * len(y)
-    return Model(base, content, _logistic(np.stack([x for x, _ in own]), y, weight))
+    return _logistic(np.array(features), y, weight)
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, toxic, at, part): the windows of each document in order."""
+    for batch in batches:
+        for k, text in enumerate(batch.column("text")):
+            parts = [w[i:i + PIECE] for w in windows(text.as_py()) for i in range(0, len(w), PIECE)]
+            row = pa.array([k] * len(parts), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(row), batch.column("toxic").take(row), pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary())], names=["id", "toxic", "at", "part"])
+
+
+def sample_windows(texts: DataFrame, most: int = DRIVER_BYTES) -> tuple[list[bytes], list[bytes]]:
+    """Windows of ordinary and of toxic documents (id, toxic, text) by id, from the whole texts.
+
+    Where a class has more than ``most`` bytes, those whose hashes of id and
+    place are among that share.
+    """
+    kind = texts.schema["id"].dataType.simpleString()
+    cut = stored(texts.select("id", "toxic", "text").mapInArrow(_cut, f"id {kind}, toxic int, at long, part binary"), "toxicity-windows")
+    sizes = {r["toxic"]: r["n"] for r in cut.groupBy("toxic").agg(F.sum(F.length("part")).alias("n")).collect()}
+    out = []
+    for toxic in (0, 1):
+        of = cut.filter(F.col("toxic") == toxic)
+        if sizes.get(toxic, 0) > most:
+            of = of.filter(F.pmod(F.xxhash64("id", "at"), F.lit(1_000_000)) < 1_000_000 * most // sizes[toxic])
+        out.append(of.select("id", "at", "part").toArrow().sort_by([("id", "ascending"), ("at", "ascending")]).column("part").to_pylist())
+    return out[0], out[1]
 
 
 def remainder(id_col: str):
@@ -193,7 +218,10 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
 
     Of each class, at most ``sample`` documents of remainder 0 train the
     dictionaries and as many of remainder 2 the calibration: those whose ids
-    have the smallest hashes.  That sample alone comes to the driver.
+    have the smallest hashes, and of a repeated id the text with the smallest.
+    To the driver come about ``DRIVER_BYTES`` of windows of each class, and
+    ``FEATURES`` numbers for each document of the calibration.  Without texts
+    of both classes every score is the share of toxic documents.
     """
     known = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)")
              .groupBy("id").agg(F.max("toxic").alias("toxic")).withColumn("fold", remainder("id")).filter("fold <> 1"))
@@ -204,12 +232,30 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
         for fold in (0, 2):
             part = known.filter((F.col("toxic") == toxic) & (F.col("fold") == fold)).orderBy(F.xxhash64("id"), "id").limit(sample)
             chosen = part if chosen is None else chosen.union(part)
-    # At most 4 * sample ids, so that the texts need not move.
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "text", "toxic", "fold").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["id"], r["text"]))
+    # At most 4 * sample ids, so that the texts need not move; of each id one text is kept.
+    once = F.min(F.struct(F.xxhash64("text").alias("print"), "text"))["text"].alias("text")
+    rows = stored(texts.join(F.broadcast(chosen), "id").groupBy("id", "toxic", "fold").agg(once), "toxicity-sample")
     total = max(sum(counts.values()), 1)
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows], [0 if r["fold"] == 0 else 1 for r in rows],
-                 (counts.get(0, 0) / total, counts.get(1, 0) / total))
+    shares = counts.get(0, 0) / total, counts.get(1, 0) / total
+    prior = np.clip(shares[1], 1e-6, 1 - 1e-6)
+    nothing = np.concatenate([[np.log(prior / (1 - prior))], np.zeros(FEATURES)])
+    ordinary, foul = sample_windows(rows.filter("fold = 0"))
+    if not ordinary or not foul:
+        return Model(b"", b"", nothing)
+    base, content = dictionaries(ordinary, foul)
+    model = Model(base, content, nothing)
+    kept = documents.sparkSession.sparkContext.broadcast(model)
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        savings = kept.value.savings()
+        for batch in batches:
+            found = [savings.features(t.as_py()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), pa.array(found, pa.list_(pa.float64()))], names=["id", "toxic", "features"])
+
+    own = rows.filter("fold = 2").select("id", "toxic", "text").mapInArrow(run, f"id {kind}, toxic int, features array<double>").toArrow().sort_by("id")
+    weights = calibrated(own.column("features").to_pylist(), own.column("toxic").to_pylist(), shares)
+    return model if weights is None else Model(base, content, weights)
 
 
 def score(documents: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:

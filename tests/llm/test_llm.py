@@ -169,6 +169,25 @@ def test_toxicity_on_held_out_documents(spark, docs, empty):
     assert toxicity(empty, labels).count() == 0
 
 
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    from shelfscan.llm import toxicity as t
+
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(40)) + (" zwyxqer" if i % 2 else ""), i % 2) for i in range(60)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    once = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    hot = next(i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 3 == 0)
+    same = spark.createDataFrame([(hot, rows[hot][1])] * 500, "doc_id long, text string")
+    taken, train = [], t.dictionaries
+    monkeypatch.setattr(t, "dictionaries", lambda *parts: taken.append(parts) or train(*parts))
+    models = [t.fit(d, labels) for d in (once, once.union(same))]
+    assert taken[0] == taken[1] and np.array_equal(models[0].weights, models[1].weights)
+    used = [(i, x, y) for i, x, y in rows if zlib.crc32(str(i).encode()) % 3 == 0]
+    assert taken[0] == tuple([w for _, x, y in used if y == c for w in t.windows(x)] for c in (0, 1))
+    long = spark.createDataFrame([(0, "a b c d e f " * 100_000, 0), (1, "z" * 50_000, 1)], "id long, text string, toxic int")
+    ordinary, foul = t.sample_windows(long, 100_000)
+    assert 80_000 < sum(map(len, ordinary)) < 120_000 and b"".join(foul).strip() == b"z" * 50_000 and max(map(len, foul)) == t.PIECE
+
+
 def test_site_quality_on_held_out_documents(spark, docs, empty):
     from shelfscan.llm.site_quality import site_quality
     from shelfscan.llm.toxicity import remainder
