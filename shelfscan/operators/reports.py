@@ -110,11 +110,9 @@ def stores_banner_list(stores: DataFrame) -> DataFrame:
     return stores.select("store_name", case_banner("store_name").alias("banner")).orderBy("store_name")
 
 
-def run_log_rows(findings: DataFrame, rules_executed: int, status: str = "SUCCESS") -> DataFrame:
-    """One log row per run: rules executed and issues found (counts from the findings)."""
-    return findings.groupBy("run_id").agg(F.count(F.lit(1)).cast("bigint").alias("issues_found")).select(
-        "run_id", F.lit(status).alias("status"), F.lit(rules_executed).cast("int").alias("rules_executed"),
-        "issues_found").orderBy(F.desc("run_id"))
+def run_log_desc(runs: DataFrame) -> DataFrame:
+    """Runs of the run log in their latest state (``validation.latest_run_status``), newest first."""
+    return runs.select("run_id", "status", "rules_executed", "issues_found").orderBy(F.desc("run_id"))
 
 
 def list_employees(employees: DataFrame, username: str | None = None) -> DataFrame:

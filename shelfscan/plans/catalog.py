@@ -7,6 +7,7 @@ the contract shared with the SQL oracle (``plans/oracle.py``).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,7 +16,10 @@ from ..constants import GPS_RULE_CODE, OSA_RULE_CODE
 from ..functions import (clean_float, clean_text, epoch_micros, parse_dateid, parse_excel_serial,
                          question_to_column, round_to_second, week_mode1)
 from ..operators import dims, migrate, pivot, reports, routing, rules, sos, survey
+from ..session import checkpoint_dir
 from ..sources.schema import SOURCE_COLUMNS, SURVEY_COLUMNS
+from ..sources.store import TableStore
+from . import validation
 from .context import FixtureContext
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -388,7 +392,14 @@ def q_table_counts(spark, sf_dir):
 
 @query("run_log")
 def q_run_log(spark, sf_dir):
-    return reports.run_log_rows(_ctx(spark, sf_dir).findings, rules_executed=2)
+    """The log of a run over the whole history and one scoped to the afternoon delivery, read back."""
+    c = _ctx(spark, sf_dir)
+    store = TableStore(spark, f"{checkpoint_dir(spark)}/run-log/{uuid.uuid4().hex}")
+    for name, df in {"survey_responses": c.survey, "stores": c.stores, "visits": c.visits, "employees": c.employees}.items():
+        store.overwrite(name, df)
+    validation.run_validation(spark, store)
+    validation.run_validation(spark, store, store.stage("target", c.affected_single))
+    return reports.run_log_desc(validation.latest_run_status(store.read("validation_run_log")))
 
 
 @query("list_employees")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfscan.plans import validation as V
 from shelfscan.sources.store import TableStore
+from conftest import SF_SMALL
 
 NOW = dt.datetime(2024, 2, 1)
 
@@ -39,3 +40,25 @@ def test_failed_run_is_logged_without_findings(spark, tmp_root):
     assert (r.status, r.rules_executed, r.issues_found) == ("FAILED", 0, 0)
     assert len(r.error_message) == 4000
     assert store.read("validation_results") is None
+
+
+def test_run_log_query_reads_the_log(spark, monkeypatch):
+    from shelfscan.plans import catalog
+
+    made, run = [], V.run_validation
+
+    def with_other_runs(spark, store, target=None):
+        made.append((store, run(spark, store, target)))
+        if len(made) == 2:  # a run without findings and a failed one come last
+            run(spark, store, target.limit(0))
+
+            def fail(tables, target):
+                raise RuntimeError("no")
+
+            with pytest.raises(RuntimeError):
+                run(spark, store, registry=[V.Rule(V.OSA_RULE.code, "n", "d", "t", "s", fail)])
+
+    monkeypatch.setattr(V, "run_validation", with_other_runs)
+    got = [tuple(r) for r in catalog.QUERIES["run_log"](spark, SF_SMALL).collect()]
+    found = [sum(r["results"].values()) for _, r in made]
+    assert got == [(4, "FAILED", 0, 0), (3, "SUCCESS", 0, 0), (2, "SUCCESS", 2, found[1]), (1, "SUCCESS", 2, found[0])]
