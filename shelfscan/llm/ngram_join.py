@@ -188,7 +188,7 @@ def _fits(n_a, at_a, n_b, at_b):
             & ((100 + PERCENT) * most >= PERCENT * (n_a + n_b)))
 
 
-def _suffix_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signature_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Drops pairs whose signatures differ by more than linked sets can."""
     for batch in batches:
         keep = [least_difference(x, y) <= n_a + n_b - 2 * _needed(n_a, n_b)
@@ -203,7 +203,7 @@ def _star_pairs(shared: DataFrame, sets: DataFrame) -> DataFrame:
     rows = (shared.join(hubs, "shingle").filter("id <> hub.id")
             .filter(_fits(n, at, F.shiftright("hub.place", 32), F.col("hub.place").bitwiseAND(F.lit((1 << 32) - 1)))))
     pairs = rows.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
-    return _with_signatures(pairs, sets).mapInArrow(_suffix_filter, "a long, b long")
+    return _with_signatures(pairs, sets).mapInArrow(_signature_filter, "a long, b long")
 
 
 def _with_signatures(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -310,7 +310,7 @@ def _all_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
             yield answer()
 
     pairs = found.repartition(partitions(spark), "a").sortWithinPartitions("a").mapInArrow(run, "a long, b long")
-    return _with_signatures(pairs, sets).mapInArrow(_suffix_filter, "a long, b long")
+    return _with_signatures(pairs, sets).mapInArrow(_signature_filter, "a long, b long")
 
 
 def _size(place: str) -> str:
