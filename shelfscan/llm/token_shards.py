@@ -247,6 +247,10 @@ def _segment_writer(path: str, end_id: int):
     return run
 
 
+#: Key ranges of the files; Spark's readers of the shards pass over a folder of such a name.
+RANGES_FOLDER, RANGES = "_ranges", "file string, low long, high long"
+
+
 def write_shards(documents: DataFrame, path: str, tokenizer: str, end_id: int = 0,
                  id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every row's whole text and write the shards to the new folder ``path``.
@@ -260,6 +264,18 @@ def write_shards(documents: DataFrame, path: str, tokenizer: str, end_id: int =
     docs = documents.select(F.col(id_col).cast("long").alias("key"), text_or_empty(text_col).alias("text"))
     ordered = docs.repartitionByRange(n, F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
     ordered.mapInArrow(_segment_writer(tokenizer, end_id), "segment binary").select(F.col("segment").cast("string")).write.text(path)
+    files = documents.sparkSession.read.format("binaryFile").load(path).select("path", "content")
+    files.mapInArrow(_ranges, RANGES).write.parquet(f"{path}/{RANGES_FOLDER}")
+
+
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, low, high): each shard file's smallest and largest key."""
+    for batch in batches:
+        for name, content in zip(batch.column("path"), batch.column("content")):
+            held = [s.directory["key"] for s in segments(content.as_py())]
+            if held:
+                yield pa.RecordBatch.from_pydict({"file": [name.as_py()], "low": [int(held[0][0])], "high": [int(held[-1][-1])]},
+                                                 schema=pa.schema([("file", pa.string()), ("low", pa.int64()), ("high", pa.int64())]))
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,11 +283,15 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, content in zip(batch.column("path"), batch.column("content")):
             at = 0
             for s in segments(content.as_py()):
+                # The index gives each key's first document; the directory has the order and the repeats that follow it.
                 keys, counts = s.directory["key"].astype(np.int64), s.directory["count"].astype(np.int64)
-                starts = np.cumsum(counts) - counts
-                distinct, first = np.unique(keys, return_index=True)
+                places = np.cumsum(counts) - counts
+                distinct, first, key = np.unique(keys, return_index=True, return_inverse=True)
                 held, start, count = s.find(distinct)
-                if not (held.all() and (start == starts[first]).all() and (count == counts[first]).all()):
+                agree = held.all() and (start == places[first]).all() and (count == counts[first]).all()
+                starts = start[key] + places - places[first][key]
+                counts[first] = count
+                if not agree:
                     raise ValueError(f"{name}: the index does not lead to the documents")
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name.as_py()] * len(keys)), pa.array(keys, mask=keys == NULL_KEY), pa.array(at + starts), pa.array(counts),
@@ -296,8 +316,13 @@ def read_shards(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
 
 
 def lookup(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
-    """(key, ids) of the given keys that the shards hold, by their indexes alone."""
+    """(key, ids) of the given keys that the shards hold: by their indexes, of the files alone whose key ranges hold a key."""
     wanted = np.unique(np.array(keys, np.int64))
+    asked = F.broadcast(spark.createDataFrame([(int(k),) for k in wanted], "key long"))
+    ranges = spark.read.schema(RANGES).parquet(f"{path}/{RANGES_FOLDER}")
+    chosen = [r["file"] for r in ranges.join(asked, F.col("key").between(F.col("low"), F.col("high")), "left_semi").select("file").collect()]
+    if not chosen:
+        return spark.createDataFrame([], "key long, ids array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,7 +335,7 @@ def lookup(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
                         {"key": near[held], "ids": [s.ids[a:a + c].astype(np.int32) for a, c in zip(start[held], count[held])]},
                         schema=pa.schema([("key", pa.int64()), ("ids", pa.list_(pa.int32()))]))
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "key long, ids array<int>")
+    return spark.read.format("binaryFile").load(chosen).select("content").mapInArrow(run, "key long, ids array<int>")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

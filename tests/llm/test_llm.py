@@ -242,6 +242,22 @@ def test_token_shards_match_the_library(spark, docs, empty):
         assert read_shards(spark, folder).count() == n
 
 
+def test_lookup_reads_the_files_of_its_keys(spark):
+    import glob
+
+    from shelfscan.llm import token_shards as t
+
+    folder = t.new_folder(spark, "test-shards")
+    table = spark.createDataFrame([(i, f"text {i}") for i in range(400)], "doc_id long, text string")
+    t.write_shards(table, folder, P.path("byte_bpe_50k.json"))
+    files = sorted(glob.glob(f"{folder.removeprefix('file:')}/part-*"))
+    assert len(files) > 1 and {r["key"] for r in t.lookup(spark, folder, [0, 399, 10**12]).collect()} == {0, 399}
+    with open(files[-1], "wb") as file:
+        file.write(b"no segment")
+    assert [r["key"] for r in t.lookup(spark, folder, [0]).collect()] == [0]
+    assert t.lookup(spark, folder, [10**12]).count() == t.lookup(spark, folder, []).count() == 0
+
+
 def test_perfect_hash_takes_every_slot_once():
     from shelfscan.llm.token_shards import Segment, build_hash, segment
 
