@@ -53,20 +53,22 @@ def start_export_feed(spark: SparkSession, input_dir: str, store_root: str, colu
     pos = (F.col("_metadata.row_index").alias("_pos") if fmt == "parquet"
            else F.col("_metadata.file_block_start").alias("_block"))
     stream = stream.select("*", F.col("_metadata.file_path").alias("_file"), pos)
-    store = TableStore(spark, store_root)
-
     feed: list[str] = []
     started = threading.Event()
 
     def process(batch: DataFrame, batch_id: int) -> None:
         started.wait()
+        # A micro-batch belongs to the query's own session.  All work on it is
+        # done there: an observation of one session never sees a write of another.
+        session = batch.sparkSession
+        store = TableStore(session, store_root)
         if _state.batch_done(store, feed[0], batch_id):
             return
-        pipeline.run(spark, _batch_source(batch), store, mode=mode, batch_id=batch_id)
-        _state.mark_done(spark, store, feed[0], batch_id)
+        pipeline.run(session, _batch_source(batch), store, mode=mode, batch_id=batch_id)
+        _state.mark_done(session, store, feed[0], batch_id)
 
     # the same folder in every session, so that a restart goes on where it was
-    ckpt = checkpoint or f"{store.path('_feeds')}/{hashlib.sha256(input_dir.rstrip('/').encode()).hexdigest()[:16]}"
+    ckpt = checkpoint or f"{store_root.rstrip('/')}/_feeds/{hashlib.sha256(input_dir.rstrip('/').encode()).hexdigest()[:16]}"
     writer = stream.writeStream.foreachBatch(process).option("checkpointLocation", ckpt)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     query = writer.start()
