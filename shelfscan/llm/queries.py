@@ -154,6 +154,94 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import language_id
+
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+OP12_SQL = r"""
+WITH given AS (
+  SELECT CAST(conv_id AS BIGINT) AS c, turn, coalesce(text, '') AS text, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest
+  FROM conversations WHERE conv_id IS NOT NULL
+), turns AS (
+  SELECT c, digest, CAST(strlen(text) AS BIGINT) AS bytes, row_number() OVER (PARTITION BY c ORDER BY turn ASC NULLS FIRST, digest) AS pos FROM given
+), lengths AS (
+  SELECT c, max(pos) AS n FROM turns GROUP BY c
+), plans AS (
+  SELECT c, c - c % 5 AS base, xor(list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda v, b: list_reduce(list_prepend(xor(v, b), CAST([8, 7, 6, 5, 4, 3, 2, 1] AS BIGINT[])), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 9 AS h
+  FROM lengths
+), rebuilt AS (
+  SELECT p.c, t.pos AS depth, t.digest, t.bytes FROM plans p JOIN turns t ON t.c = p.base AND t.pos <= p.h
+  UNION ALL
+  SELECT p.c, least(p.h, coalesce(l.n, 0)) + t.pos - p.h, t.digest, t.bytes
+  FROM plans p JOIN turns t ON t.c = p.c AND t.pos > p.h LEFT JOIN lengths l ON l.c = p.base
+), named AS (
+  SELECT c, depth, bytes, depth || md5(string_agg(digest, '') OVER (PARTITION BY c ORDER BY depth)) AS node FROM rebuilt
+), paths AS (
+  SELECT c, depth, bytes, node, coalesce(lag(node) OVER (PARTITION BY c ORDER BY depth), 'root') AS up FROM named
+  UNION ALL
+  SELECT c, 0, 0, 'root', NULL FROM lengths
+), ends AS (
+  SELECT node, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM (SELECT c, arg_max(node, depth) AS node FROM paths GROUP BY c) GROUP BY node
+), nodes AS (
+  SELECT node, min(depth) AS depth, min(up) AS up, min(c) AS conv_id, count(*) AS n_convs, min(bytes) AS bytes FROM paths GROUP BY node
+), children AS (
+  SELECT up, count(*) AS n_children FROM nodes WHERE up IS NOT NULL GROUP BY up
+), below AS (
+  SELECT p.node, sum((n.n_convs - 1) * n.bytes) AS saved, sum(CASE WHEN k.up IS NULL THEN 1 ELSE 0 END) AS leaves
+  FROM nodes n JOIN paths p ON p.c = n.conv_id AND p.depth <= n.depth LEFT JOIN children k ON k.up = n.node GROUP BY p.node
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children,
+       CAST(b.leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM nodes n JOIN below b ON b.node = n.node LEFT JOIN nodes u ON u.node = n.up LEFT JOIN children k ON k.up = n.node LEFT JOIN ends e ON e.node = n.node
+"""
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical_search import ranked_search
+
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), lengths AS (
+  SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n FROM docs WHERE len(w) > 0
+), corpus AS (
+  SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM lengths
+), items AS (
+  SELECT item_id, term, count(*) AS k
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY item_id, term
+), postings AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM docs) WHERE term IN (SELECT term FROM items) GROUP BY r, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight FROM postings, corpus GROUP BY term, docs
+), impacts AS (
+  SELECT p.r, p.term, weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))) AS impact
+  FROM postings p JOIN lengths l ON l.r = p.r JOIN weights w ON w.term = p.term CROSS JOIN corpus
+), scores AS (
+  SELECT item_id, r, CAST(sum(k * impact) AS BIGINT) AS score FROM impacts JOIN items USING (term) GROUP BY item_id, r
+), ranked AS (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank
+  FROM scores JOIN lengths USING (r) WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_rotation_codes": op2_rotation_codes,
@@ -165,6 +253,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_rules": op8_url_rules,
     "op9_ngram_join": op9_ngram_join,
     "op10_packing": op10_packing,
+    "op11_language_id": op11_language_id,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_ranked_search": op13_ranked_search,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_rotation_codes": OP2_SQL, "op8_url_rules": OP8_SQL, "op9_ngram_join": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_rotation_codes": OP2_SQL, "op8_url_rules": OP8_SQL, "op9_ngram_join": OP9_SQL, "op12_prefix_trie": OP12_SQL, "op13_ranked_search": OP13_SQL}
