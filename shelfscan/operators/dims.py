@@ -1,19 +1,20 @@
 """Dimension and visit tables: build from a delivery, merge into history.
 
 Natural keys (codes, visit date + codes) are the join keys everywhere.
-Surrogate ids exist for output parity: an existing key keeps its id; a new key
-gets ``max(existing id) + 1 + first row ordinal of the key in the delivery``.
-That is unique, grows with each load and needs no global ranking (which would
-run in one task at scale); like auto-increment ids it may have gaps.
+Surrogate ids exist for output parity: an existing key keeps its id; new keys
+are numbered densely after the largest id, in the order of their first rows,
+without a ranking in one task (see ``numbering``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import clean_text, map_link
+from .numbering import dense_numbers
 
 EMPLOYEE_COLS = ["employee_code", "username"]
 STORE_COLS = ["store_code", "store_name", "store_city", "store_state", "store_region", "store_format"]
@@ -48,12 +49,11 @@ def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
 
 # ---------------------------------------------------------------- builders --
 #
-# All four base tables come from ONE scan and ONE shuffle of the delivery: a
-# GROUPING SETS aggregate over (employee), (store), (product) and
-# (visit_date, employee, store) picks the first row of every key with
-# ``min_by(struct, src_ordinal)``.  Consumers that need several base tables
-# share that exchange (Spark reuses the identical exchange), so the source is
-# not re-read per dimension.
+# The first row of every key is found on the row's ordinal alone: one hash
+# aggregate over GROUPING SETS whose rows are key parts and a number.  The
+# attributes of the first rows, which are few, are then fetched by their
+# ordinals; each table's fetch reads its own columns only, and its side of
+# first rows is broadcast where Spark knows it to be small.
 
 KEY_COLS = ["visit_date", "employee_code", "store_code", "product_code"]
 GROUP_SETS = {
@@ -62,7 +62,13 @@ GROUP_SETS = {
     "products": ["product_code"],
     "visits": VISIT_KEY,
 }
-ATTR_COLS = (["username"] + STORE_COLS[1:] + PRODUCT_COLS[1:] + ["year", "month", "latitude", "longitude"])
+#: Attributes as the delivery has them (the map link is made from the position).
+TABLE_ATTRS = {
+    "employees": EMPLOYEE_COLS[1:],
+    "stores": STORE_COLS[1:],
+    "products": PRODUCT_COLS[1:],
+    "visits": ["year", "month", "latitude", "longitude"],
+}
 
 
 def grouping_id_of(grouped: list[str]) -> int:
@@ -73,107 +79,131 @@ def grouping_id_of(grouped: list[str]) -> int:
     return gid
 
 
-def clean_delivery(src: DataFrame) -> DataFrame:
-    """Per-row cleaning used by every base table (codes, texts; GPS is typed
-    DECIMAL(10,6) by the source preparation already)."""
-    texts = ["employee_code", "store_code", "product_code", "username"] + STORE_COLS[1:] + PRODUCT_COLS[1:]
-    return src.select("src_ordinal", "visit_date", "year", clean_text("month").alias("month"),
-                      *[clean_text(c).alias(c) for c in texts],
-                      F.col("latitude").cast("decimal(10,6)").alias("latitude"),
-                      F.col("longitude").cast("decimal(10,6)").alias("longitude"))
+def _keys(src: DataFrame, names: list[str]) -> DataFrame:
+    return src.select("src_ordinal", *[c if c == "visit_date" else clean_text(c).alias(c) for c in names])
 
 
 def base_pass(src: DataFrame) -> DataFrame:
-    """First row of every employee, store, product and visit key in one aggregate."""
-    cleaned = clean_delivery(src)
-    sets = [GROUP_SETS[t] for t in ("employees", "stores", "products", "visits")]
-    return cleaned.groupingSets(sets, *KEY_COLS).agg(
-        F.grouping_id().alias("_gid"),
-        F.min_by(F.struct(*ATTR_COLS), F.col("src_ordinal")).alias("_first"),
-        F.min("src_ordinal").alias("first_ordinal"),
-    )
-
-
-def _split(passed: DataFrame, table: str, attrs: list[str]) -> DataFrame:
-    """Rows of one grouping set with no null key part.
-
-    Every test is phrased on an aggregate output (``first_ordinal`` is never
-    null), so the optimizer keeps it above the aggregate: all base tables then
-    share one identical aggregate, whose shuffle Spark reuses across them.
+    """(key parts, table, first_ordinal): the first row of every key of all base tables, in one aggregate.
+
+    Keys with a null part are left out.
     """
-    keys = GROUP_SETS[table]
-    here = F.col("first_ordinal").isNotNull()
-    cond = F.when(here, F.col("_gid")) == grouping_id_of(keys)
+    found = _keys(src, KEY_COLS).groupingSets([GROUP_SETS[t] for t in GROUP_SETS], *KEY_COLS).agg(
+        F.grouping_id().alias("_gid"), F.min("src_ordinal").alias("first_ordinal"))
+    table, whole = F.lit(None).cast("string"), F.lit(False)
+    for name, keys in GROUP_SETS.items():
+        here = F.col("_gid") == grouping_id_of(keys)
+        table = F.when(here, F.lit(name)).otherwise(table)
+        for k in keys:
+            here = here & F.col(k).isNotNull()
+        whole = whole | here
+    return found.filter(whole).select(*KEY_COLS, "first_ordinal", table.alias("table"))
+
+
+def _first_rows(src: DataFrame, name: str, passed: DataFrame | None) -> DataFrame:
+    keys = GROUP_SETS[name]
+    if passed is not None:
+        return passed.filter(F.col("table") == name).select(*keys, "first_ordinal")
+    rows = _keys(src, keys)
     for k in keys:
-        cond = cond & F.when(here, F.col(k)).isNotNull()
-    # the maps link of the first row, built once per visit rather than per row
-    cols = [map_link(F.col("_first.latitude"), F.col("_first.longitude")).alias(a) if a == "map_link"
-            else F.col(f"_first.{a}").alias(a) for a in attrs]
-    return passed.filter(cond).select(*keys, *cols, "first_ordinal")
+        rows = rows.filter(F.col(k).isNotNull())
+    return rows.groupBy(*keys).agg(F.min("src_ordinal").alias("first_ordinal"))
+
+
+def _build(src: DataFrame, name: str, passed: DataFrame | None) -> DataFrame:
+    """First rows of one table's keys with their cleaned attributes."""
+    first = _first_rows(src, name, passed)
+    attrs = TABLE_ATTRS[name]
+    rows = first.join(src.select(F.col("src_ordinal").alias("first_ordinal"), *attrs), "first_ordinal")
+    exact = {"year": F.col("year"), "latitude": F.col("latitude").cast("decimal(10,6)"), "longitude": F.col("longitude").cast("decimal(10,6)")}
+    return rows.select(*GROUP_SETS[name], *[exact.get(a, clean_text(a)).alias(a) for a in attrs], "first_ordinal")
 
 
 def build_employees(src: DataFrame, passed: DataFrame | None = None) -> DataFrame:
     """Clean code / name, drop null code, first row per code."""
-    return _split(passed if passed is not None else base_pass(src), "employees", EMPLOYEE_COLS[1:])
+    return _build(src, "employees", passed)
 
 
 def build_stores(src: DataFrame, passed: DataFrame | None = None) -> DataFrame:
-    return _split(passed if passed is not None else base_pass(src), "stores", STORE_COLS[1:])
+    return _build(src, "stores", passed)
 
 
 def build_products(src: DataFrame, passed: DataFrame | None = None) -> DataFrame:
-    return _split(passed if passed is not None else base_pass(src), "products", PRODUCT_COLS[1:])
+    return _build(src, "products", passed)
 
 
 def build_visits(src: DataFrame, passed: DataFrame | None = None) -> DataFrame:
     """One row per (visit_date, employee_code, store_code), first row wins; null key parts dropped."""
-    return _split(passed if passed is not None else base_pass(src), "visits", VISIT_ATTRS)
+    rows = _build(src, "visits", passed)
+    return rows.withColumn("map_link", map_link(F.col("latitude"), F.col("longitude"))).select(*VISIT_KEY, *VISIT_ATTRS, "first_ordinal")
 
 
 # ------------------------------------------------------------------ merges --
 
+ID_COLS = {"employees": "employee_id", "stores": "store_id", "products": "product_id", "visits": "visit_id"}
+
+
 def next_id_base(old: DataFrame, id_col: str):
     """Scalar sub-query: largest id already allocated (0 for an empty table)."""
     return old.select(F.coalesce(F.max(id_col), F.lit(0)).cast("bigint")).scalar()
 
 
+def number_new_keys(passed: DataFrame, old: dict, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(table, key parts, number): a dense number from 1 for each key that its table does not have yet.
+
+    All tables' new keys are numbered in one pass, in the order of their first
+    rows.  ``old`` holds the tables (or the part of them that a delivery can
+    match) by name; a table that is not there has no keys.
+    """
+    fresh = []
+    for name, keys in GROUP_SETS.items():
+        rows = passed.filter(F.col("table") == name)
+        if old.get(name) is not None:
+            rows = rows.join(old[name].select(*keys), keys, "left_anti")
+        fresh.append(rows.select("table", *KEY_COLS, "first_ordinal"))
+    return dense_numbers(reduce(DataFrame.union, fresh), "table", "first_ordinal", "number", stage)
+
+
 def merge_dimension(old: DataFrame | None, new: DataFrame, key: list[str] | str, id_col: str,
-                    attrs: list[str], allocated: DataFrame | None = None) -> DataFrame:
+                    attrs: list[str], numbers: DataFrame, allocated: DataFrame | None = None) -> DataFrame:
     """Upsert ``new`` into ``old`` by natural key.
 
     Attributes of a delivered key are overwritten, also with null; keys not in
-    the delivery are kept untouched.  One full outer join on the key (a single
-    shuffle per side) replaces the anti-join + id lookup pair.  ``old=None``
-    is a first load into an empty table: ids start at 1, no join.  Where
-    ``old`` is a part of a table, ``allocated`` is the whole of it: new ids
-    follow the largest of these.
+    the delivery are kept untouched.  ``numbers`` (key, number) has the keys
+    that are not in ``old``.  ``old=None`` is a first load into an empty table:
+    ids start at 1.  Where ``old`` is a part of a table, ``allocated`` is the
+    whole of it: new ids follow the largest of these.
     """
     key = [key] if isinstance(key, str) else list(key)
+    new = new.join(numbers.select(*key, "number"), key, "left")
     if old is None:
-        return new.select(*key, (F.lit(1) + F.col("first_ordinal")).cast("bigint").alias(id_col), *attrs)
+        return new.select(*key, F.col("number").cast("bigint").alias(id_col), *attrs)
     base = next_id_base(old if allocated is None else allocated, id_col)
-    o = old.select(*key, id_col, *attrs, F.lit(True).alias("_old"))
-    n = new.select(*key, *attrs, "first_ordinal", F.lit(True).alias("_new"))
+    o = old.select(*key, id_col, *attrs)
+    n = new.select(*key, *attrs, "number", F.lit(True).alias("_new"))
     j = o.alias("o").join(n.alias("n"), key, "full_outer")
     is_new = F.col("n._new").isNotNull()
-    new_id = base + F.lit(1) + F.col("n.first_ordinal")
     cols = [F.col(k) for k in key]
-    cols.append(F.coalesce(F.col(f"o.{id_col}"), new_id).cast("bigint").alias(id_col))
+    cols.append(F.coalesce(F.col(f"o.{id_col}"), base + F.col("n.number")).cast("bigint").alias(id_col))
     cols += [F.when(is_new, F.col(f"n.{a}")).otherwise(F.col(f"o.{a}")).alias(a) for a in attrs]
     return j.select(*cols)
 
 
-def merge_employees(old: DataFrame | None, new: DataFrame) -> DataFrame:
-    return merge_dimension(old, new, "employee_code", "employee_id", ["username"]) \
+def _numbers_of(numbers: DataFrame, name: str) -> DataFrame:
+    return numbers.filter(F.col("table") == name).select(*GROUP_SETS[name], "number")
+
+
+def merge_employees(old: DataFrame | None, new: DataFrame, numbers: DataFrame) -> DataFrame:
+    return merge_dimension(old, new, "employee_code", "employee_id", ["username"], _numbers_of(numbers, "employees")) \
         .select(*EMPLOYEES_SCHEMA.names)
 
 
-def merge_stores(old: DataFrame | None, new: DataFrame) -> DataFrame:
-    return merge_dimension(old, new, "store_code", "store_id", STORE_COLS[1:]).select(*STORES_SCHEMA.names)
+def merge_stores(old: DataFrame | None, new: DataFrame, numbers: DataFrame) -> DataFrame:
+    return merge_dimension(old, new, "store_code", "store_id", STORE_COLS[1:], _numbers_of(numbers, "stores")).select(*STORES_SCHEMA.names)
 
 
-def merge_products(old: DataFrame | None, new: DataFrame) -> DataFrame:
-    return merge_dimension(old, new, "product_code", "product_id", PRODUCT_COLS[1:]) \
+def merge_products(old: DataFrame | None, new: DataFrame, numbers: DataFrame) -> DataFrame:
+    return merge_dimension(old, new, "product_code", "product_id", PRODUCT_COLS[1:], _numbers_of(numbers, "products")) \
         .select(*PRODUCTS_SCHEMA.names)
 
 
@@ -184,11 +214,11 @@ def attach_dim_ids(visits: DataFrame, employees: DataFrame, stores: DataFrame) -
 
 
 def merge_visits(old: DataFrame | None, new: DataFrame, employees: DataFrame, stores: DataFrame,
-                 allocated: DataFrame | None = None) -> DataFrame:
+                 numbers: DataFrame, allocated: DataFrame | None = None) -> DataFrame:
     """Upsert visits by (visit_date, employee, store); year, month, GPS and link are updated."""
     new = attach_dim_ids(new, employees, stores)
     attrs = ["year", "month", "employee_id", "store_id", "latitude", "longitude", "map_link"]
-    return merge_dimension(old, new, VISIT_KEY, "visit_id", attrs, allocated).select(*VISITS_SCHEMA.names)
+    return merge_dimension(old, new, VISIT_KEY, "visit_id", attrs, _numbers_of(numbers, "visits"), allocated).select(*VISITS_SCHEMA.names)
 
 
 def affected_visits(merged_visits: DataFrame, delivered: DataFrame) -> DataFrame:
@@ -204,23 +234,20 @@ def visit_lookup(visits: DataFrame, employees: DataFrame, stores: DataFrame) ->
             .select("visit_id", "visit_date", "employee_code", "store_code"))
 
 
-def load_base_tables(spark: SparkSession, src: DataFrame, old: dict | None = None,
-                     passed: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Build + merge all four base tables for one delivery (lazy DataFrames).
+def load_base_tables(src: DataFrame, passed: DataFrame, stage: Callable[[DataFrame], DataFrame],
+                     old: dict | None = None) -> dict[str, DataFrame]:
+    """Build + merge all four base tables for one delivery.
 
-    ``passed`` is the (ideally persisted) ``base_pass(src)``: the four tables
-    then read one materialised aggregate instead of re-running it per table
-    (column pruning makes each table's copy of the aggregate different, so
-    Spark could not share the shuffle by itself).
+    ``passed`` is the written ``base_pass(src)``, and ``stage`` writes a frame
+    and reads it back (for the numbers of new keys).  ``old`` has the tables so
+    far; for visits that may be the months which the delivery touches, with the
+    whole table as ``all_visits``.
     """
     old = old or {}
-    passed = passed if passed is not None else base_pass(src)
-    emp = merge_employees(old.get("employees"), build_employees(src, passed))
-    sto = merge_stores(old.get("stores"), build_stores(src, passed))
-    pro = merge_products(old.get("products"), build_products(src, passed))
-    vis = merge_visits(old.get("visits"), build_visits(src, passed), emp, sto, old.get("all_visits"))
+    numbers = number_new_keys(passed, old, stage)
+    # written, since visits read them as well
+    emp = stage(merge_employees(old.get("employees"), build_employees(src, passed), numbers))
+    sto = stage(merge_stores(old.get("stores"), build_stores(src, passed), numbers))
+    pro = merge_products(old.get("products"), build_products(src, passed), numbers)
+    vis = merge_visits(old.get("visits"), build_visits(src, passed), emp, sto, numbers, old.get("all_visits"))
     return {"employees": emp, "stores": sto, "products": pro, "visits": vis}
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -115,6 +115,16 @@ def run_log_desc(runs: DataFrame) -> DataFrame:
     return runs.select("run_id", "status", "rules_executed", "issues_found").orderBy(F.desc("run_id"))
 
 
+def rules_by_code(rules: DataFrame) -> DataFrame:
+    """Rule metadata in the order of rule codes."""
+    return rules.select("rule_code", "rule_name", "description", "source_table", "severity", "is_active").orderBy("rule_code")
+
+
+def distinct_rule_codes(results: DataFrame) -> DataFrame:
+    """Rule codes that occur in findings, with the number of their rows."""
+    return results.groupBy("rule_code").agg(F.count(F.lit(1)).cast("bigint").alias("row_count"))
+
+
 def list_employees(employees: DataFrame, username: str | None = None) -> DataFrame:
     e = employees.select("employee_id", "employee_code", "username")
     return e if username is None else e.filter(F.col("username") == username)

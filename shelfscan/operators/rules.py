@@ -25,6 +25,26 @@ def round_dec(x, scale: int) -> F.Column:
     return F.round(x.cast("decimal(24,10)"), scale)
 
 
+# --------------------------------------------------- history of a scoped run ----
+
+def gps_history(visits: DataFrame, months: list[str]) -> DataFrame:
+    """Visits of the months of a target: its groups are months of visits, so that no other can matter."""
+    return visits.filter(F.col("visit_month").isin(months))
+
+
+def osa_history(survey: DataFrame, days: DataFrame, target: DataFrame, months: list[str]) -> DataFrame:
+    """Answers of the months of visits that a week of the target's answers can touch.
+
+    ``days`` has the first and last day of the answers of each month of visits
+    (an answer's week need not lie in its visit's month).  Weeks of a year are
+    parts of weeks from Monday to Sunday.
+    """
+    mine = survey.filter(F.col("visit_month").isin(months)).join(target.select("visit_id").distinct(), "visit_id", "left_semi")
+    weeks = mine.filter("response_datetime is not null").select(F.date_trunc("week", "response_datetime").cast("date").alias("monday")).distinct()
+    touched = days.join(weeks, (F.col("first_day") <= F.date_add("monday", 6)) & (F.col("last_day") >= F.col("monday")), "left_semi")
+    return survey.filter(F.col("visit_month").isin([r[0] for r in touched.select("visit_month").distinct().collect()]))
+
+
 # ------------------------------------------------------------------- GPS ----
 
 GPS_GROUP = ["employee_code", "store_code", "year_num", "month_num"]

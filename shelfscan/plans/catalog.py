@@ -7,8 +7,10 @@ the contract shared with the SQL oracle (``plans/oracle.py``).
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -16,10 +18,12 @@ from ..constants import GPS_RULE_CODE, OSA_RULE_CODE
 from ..functions import (clean_float, clean_text, epoch_micros, parse_dateid, parse_excel_serial,
                          question_to_column, round_to_second, week_mode1)
 from ..operators import dims, migrate, pivot, reports, routing, rules, sos, survey
+from ..operators.numbering import dense_numbers
 from ..session import checkpoint_dir
+from ..sources.export import export_rows, scan_export
 from ..sources.schema import SOURCE_COLUMNS, SURVEY_COLUMNS
-from ..sources.store import TableStore
-from . import validation
+from ..sources.store import MONTH_COL, TableStore, with_visit_month
+from . import etl, migration, validation
 from .context import FixtureContext
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -59,7 +63,8 @@ def reset() -> None:
 def _ctx(spark, sf_dir) -> FixtureContext:
     """One lazy context per (session, directory): shared DataFrames are
     constructed (analysed) once and reused by every query of the session."""
-    key = (id(spark._jsparkSession), sf_dir.rstrip("/"))
+    # the session's own id: that of a Python proxy can come again after it is gone
+    key = (spark.sparkContext.applicationId, spark._jsparkSession.sessionUUID(), sf_dir.rstrip("/"))
     ctx = _CONTEXTS.get(key)
     if ctx is None:
         ctx = _CONTEXTS[key] = FixtureContext(spark, sf_dir)
@@ -70,7 +75,20 @@ def _ctx(spark, sf_dir) -> FixtureContext:
 
 @query("scan_export")
 def q_scan_export(spark, sf_dir):
-    return _ctx(spark, sf_dir).src.select(*SOURCE_COLUMNS)
+    """The fixture written as CSV files, as a field tool delivers them, and scanned.
+
+    Some answers go on over a line feed.  ``src_ordinal`` is each row's place
+    in the order of the files, from 1.
+    """
+    c = _ctx(spark, sf_dir)
+    src = c.src.withColumn("response", F.when(F.col("src_ordinal") % 17 == 0, F.concat("response", F.lit('\nsuite "2", fin')))
+                           .otherwise(F.col("response")))
+    path = f"{checkpoint_dir(spark)}/export/{uuid.uuid4().hex}"
+    (export_rows(src).repartitionByRange(4, "src_ordinal").sortWithinPartitions("src_ordinal").drop("src_ordinal").write
+     .option("header", "true").option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path))
+    scanned = scan_export(spark, path, "csv")
+    numbered = dense_numbers(scanned.withColumn("_all", F.lit(0)), "_all", "src_ordinal", "place", c.keep)
+    return numbered.withColumn("src_ordinal", F.col("place").cast("bigint")).select(*SOURCE_COLUMNS)
 
 
 @query("parse_dateid")
@@ -187,13 +205,29 @@ def q_build_survey(spark, sf_dir):
     return _ctx(spark, sf_dir).survey
 
 
+def _survey_store(c: FixtureContext) -> tuple[TableStore, DataFrame]:
+    """A store with the survey of the morning load, and the afternoon's visits with their months."""
+    store = c.new_store("survey")
+    months = with_visit_month(c.load2["visits"]).select("visit_id", MONTH_COL)
+    store.overwrite("survey_responses", c.survey_of(c.deliveries[0], c.load1).join(months, "visit_id"), [MONTH_COL])
+    return store, c.keep(months.join(c.affected, "visit_id", "left_semi"))
+
+
 @query("replace_by_visit")
 def q_replace_by_visit(spark, sf_dir):
-    """Survey table after the morning load, then the afternoon load replacing its visits."""
+    """Survey table after the morning load, then the afternoon load replacing its visits, read back."""
     c = _ctx(spark, sf_dir)
-    old = c.survey_of(c.deliveries[0], c.load1)
-    new = c.survey_of(c.deliveries[1], c.load2)
-    return old.join(c.affected, "visit_id", "left_anti").unionByName(new).select(*SURVEY_COLUMNS)
+    store, affected = _survey_store(c)
+    new = c.survey_of(c.deliveries[1], c.load2).join(affected, "visit_id")
+    return etl.replace_visits(store, "survey_responses", new, affected).select(*SURVEY_COLUMNS)
+
+
+@query("delete_visit_payload")
+def q_delete_visit_payload(spark, sf_dir):
+    """Survey table after the morning load without the visits of the afternoon, which bring no rows."""
+    store, affected = _survey_store(_ctx(spark, sf_dir))
+    none = store.read("survey_responses").limit(0)
+    return etl.replace_visits(store, "survey_responses", none, affected).select(*SURVEY_COLUMNS)
 
 
 # -------------------------------------------------------- task routing ----
@@ -394,7 +428,7 @@ def q_table_counts(spark, sf_dir):
 def q_run_log(spark, sf_dir):
     """The log of a run over the whole history and one scoped to the afternoon delivery, read back."""
     c = _ctx(spark, sf_dir)
-    store = TableStore(spark, f"{checkpoint_dir(spark)}/run-log/{uuid.uuid4().hex}")
+    store = c.new_store("run-log")
     for name, df in {"survey_responses": c.survey, "stores": c.stores, "visits": c.visits, "employees": c.employees}.items():
         store.overwrite(name, df)
     validation.run_validation(spark, store)
@@ -407,12 +441,75 @@ def q_list_employees(spark, sf_dir):
     return reports.list_employees(_ctx(spark, sf_dir).employees)
 
 
+#: Days between the deliveries of the ETL queries, so that each has months of its own.
+DELIVERY_DAYS = 100
+
+
+def _three_deliveries(c: FixtureContext) -> list[DataFrame]:
+    """Every third row of the fixture each, the visits moved to other months."""
+    return [c.src.filter(F.col("src_ordinal") % 3 == k).withColumn("visit_date", F.date_add("visit_date", DELIVERY_DAYS * k)) for k in range(3)]
+
+
+def _stored_tables(store: TableStore) -> DataFrame:
+    """Rows and largest id of every month of the stored tables."""
+    ids = {**dims.ID_COLS, "survey_responses": "visit_id", "survey_quarantine": "visit_id"}
+    parts = []
+    for name, key in ids.items():
+        df = store.read(name)
+        month = F.col(MONTH_COL) if MONTH_COL in df.columns else F.lit("all")
+        parts.append(df.groupBy(month.alias("month")).agg(F.count(F.lit(1)).alias("n_rows"), F.max(key).alias("max_id"))
+                     .select(F.lit(name).alias("table_name"), "month", "n_rows", "max_id"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("etl_run")
 def q_etl_run(spark, sf_dir):
+    """Three deliveries of different months loaded one after the other, the second one twice; the tables read back."""
+    c = _ctx(spark, sf_dir)
+    store = c.new_store("etl")
+    one, two, three = _three_deliveries(c)
+    for delivery in (one, two, three, two):
+        etl.run_etl(spark, delivery, store)
+    return _stored_tables(store)
+
+
+@query("full_refresh")
+def q_full_refresh(spark, sf_dir):
+    """Two deliveries, the second as a full refresh: only its rows are left."""
+    c = _ctx(spark, sf_dir)
+    store = c.new_store("refresh")
+    one, two, _ = _three_deliveries(c)
+    etl.run_etl(spark, one, store)
+    etl.run_etl(spark, two, store, full_refresh=True)
+    return _stored_tables(store)
+
+
+@query("load_task_tables")
+def q_load_task_tables(spark, sf_dir):
+    """Rows of every task table of a store after two deliveries."""
+    c = _ctx(spark, sf_dir)
+    store = c.new_store("tasks")
+    for delivery in _three_deliveries(c)[:2]:
+        etl.run_etl(spark, delivery, store)
+    names = [t for t in store.tables() if t.startswith(pivot.TABLE_PREFIX)]
+    return reduce(DataFrame.unionByName, [store.read(t).groupBy(MONTH_COL).agg(F.count(F.lit(1)).alias("n_rows"))
+                                          .select(F.lit(t).alias("table_name"), F.col(MONTH_COL).alias("month"), "n_rows") for t in names])
+
+
+@query("evolve_question_columns")
+def q_evolve_question_columns(spark, sf_dir):
+    """The question dictionary of the morning, and after it the afternoon's new questions."""
     c = _ctx(spark, sf_dir)
-    parts = {"rows": c.src, "employees": c.employees, "stores": c.stores, "products": c.products,
-             "visits": c.visits, "task_rows": c.tagged, "survey_rows": c.survey}
-    return reports.table_counts(parts).withColumnRenamed("table_name", "item")
+    tagged = [c.keep(routing.tag_task_rows(d, load["visits"], load["products"])) for d, load in zip(c.deliveries, (c.load1, c.load2))]
+    known = c.keep(pivot.question_dictionary(tagged[0]))
+    return known.unionByName(pivot.question_dictionary(tagged[1], known))
+
+
+@query("rules_by_code")
+def q_rules_by_code(spark, sf_dir):
+    """Rule metadata as a run's rule sync leaves it."""
+    now = dt.datetime(2024, 1, 1)
+    return reports.rules_by_code(validation.sync_rules(spark, None, now))
 
 
 # ------------------------------------------------------------ migration ----
@@ -439,5 +536,22 @@ def q_mig_rule_meta(spark, sf_dir):
 
 @query("distinct_rule_codes")
 def q_distinct_rule_codes(spark, sf_dir):
-    legacy = migrate.legacy_from_findings(_ctx(spark, sf_dir).findings_run1)
-    return legacy.groupBy("rule_code").agg(F.count(F.lit(1)).cast("bigint").alias("row_count"))
+    return reports.distinct_rule_codes(migrate.legacy_from_findings(_ctx(spark, sf_dir).findings_run1))
+
+
+@query("migration_run")
+def q_migration_run(spark, sf_dir):
+    """A store with legacy findings migrated, twice; findings, rules and runs read back."""
+    c = _ctx(spark, sf_dir)
+    store = c.new_store("migration")
+    store.overwrite("validation_results", migrate.legacy_from_findings(c.findings_run1))
+    for _ in range(2):
+        migration.run_migration(spark, store)
+    results = store.read("validation_results").groupBy("rule_code", "severity").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("metric_value").cast("double").alias("metric"))
+    rules = store.read("validation_rules").select("rule_code", "severity", F.col("is_active").cast("bigint").alias("n"), F.lit(None).cast("double").alias("metric"))
+    runs = validation.latest_run_status(store.read("validation_run_log")).select(
+        F.col("status").alias("rule_code"), F.col("rules_executed").cast("string").alias("severity"), F.col("issues_found").alias("n"),
+        F.lit(None).cast("double").alias("metric"))
+    named = {"validation_results": results, "validation_rules": rules, "validation_run_log": runs}
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("table_name"), "*") for name, df in named.items()])

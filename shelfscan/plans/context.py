@@ -1,10 +1,13 @@
-"""Lazy per-call context over the test tables: one delivery or two deliveries.
+"""Per-session context over the test tables: one delivery or two deliveries.
 
-Everything here is a lazy DataFrame; building a context runs no job.
+Frames that several branches of a query read are written once, as Parquet in
+the shared checkpoint folder, when they are first asked for; all others are
+lazy.  ``close`` removes what was written.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,37 +15,41 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import dims, pivot, routing, rules, survey
 from ..session import checkpoint_dir
 from ..sources.fixture import events_source, split_deliveries
+from ..sources.store import TableStore
 
 
 class FixtureContext:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
-        self._persisted: list[DataFrame] = []
+        self._store = TableStore(spark, f"{checkpoint_dir(spark)}/context")
 
-    def _keep(self, df: DataFrame) -> DataFrame:
-        """Materialise a frame reused by several branches of a query, once per context.
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Write a frame that several branches read, and read it back.
 
-        A reliable checkpoint into the shared checkpoint folder: later plans
-        start from the checkpointed files (a short lineage that the optimizer
-        and AQE re-plan cheaply, and that survives lost executors).
+        Later plans start from its columns: their scans are pruned to what they
+        use, filters reach the files, the lineage is short for the optimizer
+        and survives lost executors.
         """
-        checkpoint_dir(self.spark)
-        return df.checkpoint(eager=True)
+        return self._store.stage("context", df)
+
+    def new_store(self, name: str) -> TableStore:
+        """An empty store of its own in the shared folder."""
+        return TableStore(self.spark, f"{checkpoint_dir(self.spark)}/stores/{name}-{uuid.uuid4().hex}")
 
     def close(self) -> None:
-        self._persisted.clear()
+        self._store.clear_staging()
 
     # ---- single delivery (the whole table loaded once) ---------------------
     @cached_property
     def src(self) -> DataFrame:
         # the prepared source is read by every base table, the routed rows and
         # the survey fact: read it once
-        return self._keep(events_source(self.spark, self.sf_dir))
+        return self.keep(events_source(self.spark, self.sf_dir))
 
     @cached_property
     def base(self) -> dict[str, DataFrame]:
-        return dims.load_base_tables(self.spark, self.src, passed=self._keep(dims.base_pass(self.src)))
+        return dims.load_base_tables(self.src, self.keep(dims.base_pass(self.src)), self.keep)
 
     @property
     def employees(self) -> DataFrame:
@@ -66,12 +73,12 @@ class FixtureContext:
 
     @cached_property
     def survey(self) -> DataFrame:
-        return self._keep(survey.build_survey(self.src, self.lookup))
+        return self.keep(survey.build_survey(self.src, self.lookup))
 
     @cached_property
     def tagged(self) -> DataFrame:
         # read by the dictionary, every task table and the SOS reshape
-        return self._keep(routing.tag_task_rows(self.src, self.visits, self.products))
+        return self.keep(routing.tag_task_rows(self.src, self.visits, self.products))
 
     @cached_property
     def dictionary(self) -> DataFrame:
@@ -104,19 +111,21 @@ class FixtureContext:
 
     @cached_property
     def pass1(self) -> DataFrame:
-        return self._keep(dims.base_pass(self.deliveries[0]))
+        return self.keep(dims.base_pass(self.deliveries[0]))
 
     @cached_property
     def pass2(self) -> DataFrame:
-        return self._keep(dims.base_pass(self.deliveries[1]))
+        return self.keep(dims.base_pass(self.deliveries[1]))
 
     @cached_property
     def load1(self) -> dict[str, DataFrame]:
-        return dims.load_base_tables(self.spark, self.deliveries[0], passed=self.pass1)
+        return dims.load_base_tables(self.deliveries[0], self.pass1, self.keep)
 
     @cached_property
     def load2(self) -> dict[str, DataFrame]:
-        return dims.load_base_tables(self.spark, self.deliveries[1], old=self.load1, passed=self.pass2)
+        # the tables of the morning as a store would have them: written
+        old = {name: self.keep(df) for name, df in self.load1.items()}
+        return dims.load_base_tables(self.deliveries[1], self.pass2, self.keep, old)
 
     @cached_property
     def affected(self) -> DataFrame:

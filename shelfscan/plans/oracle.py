@@ -9,8 +9,9 @@ non-null" uses ``arg_min`` (which skips null values).
 from __future__ import annotations
 
 from ..constants import (BANNER_OTHER, BANNER_PREFIXES, GLACE_KEYWORD, GLACE_TABLE, GPS_HIGH_DISTANCE_METERS,
-                         GPS_RULE_CODE, GPS_RULE_QUESTION, GPS_WARNING_DISTANCE_METERS, MAP_LINK_PREFIX,
-                         OSA_RULE_CODE, TASK_TABLE_MAP, TITLE_TABLE_MAP)
+                         GPS_RULE_CODE, GPS_RULE_DESCRIPTION, GPS_RULE_NAME, GPS_RULE_QUESTION, GPS_SEVERITY,
+                         GPS_SOURCE_TABLE, GPS_WARNING_DISTANCE_METERS, MAP_LINK_PREFIX, OSA_RULE_CODE,
+                         OSA_RULE_DESCRIPTION, OSA_RULE_NAME, OSA_SEVERITY, OSA_SOURCE_TABLE, TASK_TABLE_MAP, TITLE_TABLE_MAP)
 from ..sources.fixture import fixture_sql
 
 
@@ -100,17 +101,17 @@ def build_visits(out: str, src: str) -> str:
 
 
 def first_load(sfx: str, src: str) -> str:
-    """Base tables of one load into empty tables: id = 1 + first ordinal."""
+    """Base tables of one load into empty tables: ids number the keys by their first rows."""
     sa, pa = ", ".join(STORE_ATTRS), ", ".join(PRODUCT_ATTRS)
     return ",\n".join([
         build_dim(f"empb{sfx}", src, "employee_code", ["username"]),
         build_dim(f"stob{sfx}", src, "store_code", STORE_ATTRS),
         build_dim(f"prob{sfx}", src, "product_code", PRODUCT_ATTRS),
         build_visits(f"visb{sfx}", src),
-        f"emp{sfx} AS (SELECT CAST(1 + first_ordinal AS BIGINT) AS employee_id, employee_code, username FROM empb{sfx})",
-        f"sto{sfx} AS (SELECT CAST(1 + first_ordinal AS BIGINT) AS store_id, store_code, {sa} FROM stob{sfx})",
-        f"pro{sfx} AS (SELECT CAST(1 + first_ordinal AS BIGINT) AS product_id, product_code, {pa} FROM prob{sfx})",
-        f"vis{sfx} AS (SELECT CAST(1 + v.first_ordinal AS BIGINT) AS visit_id, v.visit_date, v.year, v.month, "
+        f"emp{sfx} AS (SELECT row_number() OVER (ORDER BY first_ordinal) AS employee_id, employee_code, username FROM empb{sfx})",
+        f"sto{sfx} AS (SELECT row_number() OVER (ORDER BY first_ordinal) AS store_id, store_code, {sa} FROM stob{sfx})",
+        f"pro{sfx} AS (SELECT row_number() OVER (ORDER BY first_ordinal) AS product_id, product_code, {pa} FROM prob{sfx})",
+        f"vis{sfx} AS (SELECT row_number() OVER (ORDER BY v.first_ordinal) AS visit_id, v.visit_date, v.year, v.month, "
         f"e.employee_id, s.store_id, v.employee_code, v.store_code, v.latitude, v.longitude, v.map_link "
         f"FROM visb{sfx} v JOIN emp{sfx} e ON e.employee_code = v.employee_code "
         f"JOIN sto{sfx} s ON s.store_code = v.store_code)",
@@ -124,8 +125,9 @@ def merge_dim(out: str, old: str, new: str, keys: list[str], id_col: str, attrs:
     kcols = ", ".join(f"coalesce(o.{k}, n.{k}) AS {k}" for k in keys)
     acols = ", ".join(f"CASE WHEN n._new THEN n.{a} ELSE o.{a} END AS {a}" for a in attrs)
     return (f"{out} AS (SELECT {kcols}, CAST(coalesce(o.{id_col}, "
-            f"(SELECT coalesce(max({id_col}), 0) FROM {old}) + 1 + n.first_ordinal) AS BIGINT) AS {id_col}, {acols} "
-            f"FROM {old} o FULL OUTER JOIN (SELECT *, true AS _new FROM {new}) n ON {on})")
+            f"(SELECT coalesce(max({id_col}), 0) FROM {old}) + n.number) AS BIGINT) AS {id_col}, {acols} "
+            f"FROM {old} o FULL OUTER JOIN (SELECT *, true AS _new, row_number() OVER (PARTITION BY known ORDER BY first_ordinal) AS number "
+            f"FROM (SELECT n.*, EXISTS (SELECT 1 FROM {old} o WHERE {on}) AS known FROM {new} n)) n ON {on})")
 
 
 def second_load() -> str:
@@ -337,6 +339,23 @@ _DIST = ("coalesce(NULLIF(regexp_extract(coalesce(response, ''), 'distance_meter
          "NULLIF(regexp_extract(coalesce(message, ''), 'is (\\d+(?:\\.\\d+)?) meters', 1), ''))")
 
 
+def deliveries(kept: str) -> list[str]:
+    """Base tables of some of three deliveries, each moved by 100 days, loaded in their order."""
+    moved = ("src AS (SELECT * REPLACE (CAST(visit_date + CAST(100 * (src_ordinal % 3) AS INTEGER) AS DATE) AS visit_date, "
+             f"src_ordinal + 1000000000000 * (src_ordinal % 3) AS src_ordinal) FROM delivered WHERE src_ordinal % 3 IN ({kept}))")
+    return [SRC.replace("src AS", "delivered AS", 1), moved, first_load("", "src")]
+
+
+STORED = " UNION ALL ".join([
+    "SELECT 'employees' AS table_name, 'all' AS month, count(*) AS n_rows, max(employee_id) AS max_id FROM emp",
+    "SELECT 'stores', 'all', count(*), max(store_id) FROM sto", "SELECT 'products', 'all', count(*), max(product_id) FROM pro",
+    "SELECT 'visits', strftime(visit_date, '%Y-%m'), count(*), max(visit_id) FROM vis GROUP BY ALL",
+    *(f"SELECT '{name}', strftime(v.visit_date, '%Y-%m'), count(*), max(v.visit_id) FROM survey_t s JOIN vis v ON v.visit_id = s.visit_id "
+      f"WHERE s.question IS {test} GROUP BY ALL" for name, test in (("survey_responses", "NOT NULL"), ("survey_quarantine", "NULL")))])
+CURRENT_RULES = [(OSA_RULE_CODE, OSA_RULE_NAME, OSA_RULE_DESCRIPTION, OSA_SOURCE_TABLE, OSA_SEVERITY),
+                 (GPS_RULE_CODE, GPS_RULE_NAME, GPS_RULE_DESCRIPTION, GPS_SOURCE_TABLE, GPS_SEVERITY)]
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     src_cols = ("src_ordinal, visit_date, responsedate, year, month, employee_code, username, store_code, store_name, "
@@ -344,7 +363,15 @@ def oracle_sql() -> dict[str, str]:
                 "CAST(NULL AS VARCHAR) AS barcode, CAST(NULL AS VARCHAR) AS product_description, "
                 "CAST(NULL AS VARCHAR) AS brand, CAST(NULL AS VARCHAR) AS category, CAST(NULL AS VARCHAR) AS sub_category, "
                 "latitude, longitude, task, title, question, response")
-    q["scan_export"] = with_(SRC) + f"SELECT {src_cols} FROM src"
+    serial = "CAST(printf('%.12f', CAST(epoch_us(responsedate) AS DOUBLE) / 86400000000.0 + 25569.0) AS DOUBLE)"
+    exported = [
+        ("src_ordinal,", "row_number() OVER (ORDER BY src_ordinal) AS src_ordinal,"),
+        ("responsedate,", f"make_timestamp(CAST(round(({serial} - 25569) * 86400000000) AS BIGINT)) AS responsedate,"),
+        ("question, response", "question, CASE WHEN src_ordinal % 17 = 0 THEN response || chr(10) || 'suite \"2\", fin' ELSE response END AS response")]
+    cols = src_cols
+    for old, new in exported:
+        cols = cols.replace(old, new, 1)
+    q["scan_export"] = with_(SRC) + f"SELECT {cols} FROM src"
     ymd = "strftime(responsedate, '%Y%m%d')"
     raw = (f"CASE WHEN src_ordinal % 17 = 0 THEN {ymd} || '.0' WHEN src_ordinal % 19 = 0 "
            f"THEN substr({ymd}, 1, 4) || '13' || substr({ymd}, 7, 2) ELSE {ymd} END")
@@ -384,6 +411,9 @@ def oracle_sql() -> dict[str, str]:
     q["replace_by_visit"] = with_(SRC, second_load(), survey("s1", "d1", "lk1"), survey("s2", "d2", "lk2")) + (
         "SELECT * FROM s1 WHERE visit_id NOT IN (SELECT visit_id FROM affected) UNION ALL SELECT * FROM s2")
 
+    q["delete_visit_payload"] = with_(SRC, second_load(), survey("s1", "d1", "lk1")) + (
+        "SELECT * FROM s1 WHERE visit_id NOT IN (SELECT visit_id FROM affected)")
+
     q["route_task_table"] = with_(SRC, ROUTED) + "SELECT src_ordinal, target_table FROM routed WHERE target_table IS NOT NULL"
     q["unmatched_rows"] = with_(SRC, ROUTED) + "SELECT src_ordinal, task, title FROM routed WHERE target_table IS NULL"
     q["filter_glace"] = with_(SRC, ROUTED) + (
@@ -482,10 +512,30 @@ def oracle_sql() -> dict[str, str]:
         "SELECT run_id, 'SUCCESS' AS status, CAST(2 AS INTEGER) AS rules_executed, CAST(count(*) AS BIGINT) AS issues_found "
         "FROM findings GROUP BY run_id ORDER BY run_id DESC")
     q["list_employees"] = with_(*BASE) + "SELECT employee_id, employee_code, username FROM emp"
-    q["etl_run"] = with_(*SURV, ROUTED, TAGGED) + " UNION ALL ".join(
-        f"SELECT '{n}' AS item, CAST(count(*) AS BIGINT) AS row_count FROM {t}"
-        for n, t in [("rows", "src"), ("employees", "emp"), ("stores", "sto"), ("products", "pro"), ("visits", "vis"),
-                     ("task_rows", "tagged"), ("survey_rows", "survey_t")])
+    q["etl_run"] = with_(*deliveries("0, 1, 2"), survey("survey_t", "src", "lk")) + STORED
+    q["full_refresh"] = with_(*deliveries("1"), survey("survey_t", "src", "lk")) + STORED
+    from ..operators.routing import table_flags
+    month = "strftime(visit_date, '%Y-%m')"
+    keyed = []
+    for t in sorted(set(TASK_TABLE_MAP.values()) | set(TITLE_TABLE_MAP.values())):
+        if t != "task_sos":
+            flag = table_flags(t)
+            keyed.append((t, ["visit_id"] + ["product_id"] * flag["has_product"] + [strip("task")] * flag["has_task"]))
+    wide = [f"SELECT '{t}' AS table_name, month, count(*) AS n_rows FROM (SELECT DISTINCT {month} AS month, {', '.join(keys)} "
+            f"FROM tagged WHERE target_table = '{t}') GROUP BY month" for t, keys in keyed]
+    answers = " UNION ALL ".join(
+        f"SELECT DISTINCT {month} AS month, '{t}' AS t, visit_id, {'product_id' if 'product_id' in keys else 'NULL'} AS p, "
+        f"{strip('task') if len(keys) > 1 and 'product_id' not in keys else 'NULL'} AS k, {ct('question')} AS qu FROM tagged "
+        f"WHERE target_table = '{t}' AND {ct('question')} IS NOT NULL" for t, keys in keyed)
+    sos = SOS_SQL[SOS_SQL.index("sos_rows AS"):]
+    cut = sos.index("SELECT n.visit_id, n.task")
+    q["load_task_tables"] = with_(*deliveries("0, 1"), ROUTED, TAGGED, sos[:cut].rstrip(), f"sos AS ({sos[cut:]})") + " UNION ALL ".join([
+        *wide, f"SELECT 'task_answers', month, count(*) FROM ({answers}) GROUP BY month",
+        f"SELECT 'task_sos', {month.replace('visit_date', 'v.visit_date')}, count(*) FROM sos JOIN vis v ON v.visit_id = sos.visit_id GROUP BY ALL"])
+    q["evolve_question_columns"] = q["question_suffix"]
+    q["rules_by_code"] = " UNION ALL ".join(
+        "SELECT " + ", ".join("'" + v.replace("'", "''") + f"' AS {n}" for v, n in zip(r, ["rule_code", "rule_name", "description", "source_table", "severity"]))
+        + ", true AS is_active" for r in CURRENT_RULES)
 
     mig = with_(*ALL_RUNS, _legacy(), f"lg AS (SELECT *, CAST({_DIST} AS DOUBLE) AS dist FROM legacy)")
     osa = f"rule_code = '{OSA_RULE_CODE}'"
@@ -515,4 +565,9 @@ def oracle_sql() -> dict[str, str]:
         f"coalesce(k.severity, '{LEGACY_UNKNOWN_SEVERITY}') AS severity, true AS is_active "
         f"FROM (SELECT DISTINCT rule_code FROM legacy) c LEFT JOIN ({known}) k ON k.rule_code = c.rule_code")
     q["distinct_rule_codes"] = mig + "SELECT rule_code, CAST(count(*) AS BIGINT) AS row_count FROM legacy GROUP BY rule_code"
+    q["migration_run"] = (
+        f"SELECT 'validation_results' AS table_name, rule_code, severity, count(*) AS n, CAST(sum(metric_value) AS DOUBLE) AS metric "
+        f"FROM ({q['migrate_results']}) GROUP BY rule_code, severity UNION ALL "
+        f"SELECT 'validation_rules', rule_code, severity, CAST(1 AS BIGINT), NULL FROM ({q['mig_rule_meta']}) UNION ALL "
+        f"SELECT 'validation_run_log', 'MIGRATED', CAST(count(*) AS VARCHAR), CAST(sum(row_count) AS BIGINT), NULL FROM ({q['distinct_rule_codes']})")
     return q

@@ -14,9 +14,11 @@ BACKFILL = "backfill"
 
 
 def run(spark: SparkSession, source: DataFrame, store: TableStore, mode: str = DAILY,
-        full_refresh: bool = False, batch_id: int | None = None) -> dict:
+        full_refresh: bool = False, batch_id: int | None = None, request_id: str | None = None) -> dict:
     """Load a prepared delivery; validate the delivered visits when ``mode`` is daily.
 
+    ``request_id`` names the delivery: run again, it has one validation run.
+
     Validation is skipped for backfills, and when the delivery produced no
     survey rows (nothing new to check).
     """
@@ -25,8 +27,8 @@ def run(spark: SparkSession, source: DataFrame, store: TableStore, mode: str = D
     etl = run_etl(spark, source, store, full_refresh=full_refresh)
     out = {"etl": etl["counts"], "delivered": etl["delivered"], "validation": None}
     if mode == DAILY and etl["delivered"]["survey_responses"]:
-        out["validation"] = run_validation(spark, store, target=etl["affected"].select("visit_id"),
-                                           batch_id=batch_id)
+        out["validation"] = run_validation(spark, store, target=etl["affected"], batch_id=batch_id,
+                                           request_id=request_id)
     return out
 
 

@@ -4,6 +4,11 @@ The export arrives as CSV or Parquet files (the binary spreadsheet is
 converted upstream).  Everything is read as text, the header is trimmed and
 lower-cased, and the row order of the file becomes ``src_ordinal`` because
 "first row wins" / "last answer wins" semantics depend on it.
+
+A CSV field in quotes may hold line feeds.  Where a file has such fields, its
+lines are put together to records before they are parsed: the number of quotes
+before a line tells whether it begins inside a field.  That number is added up
+over the cluster (see ``operators.scan``), so that a large file stays split.
 """
 
 from __future__ import annotations
@@ -12,7 +17,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..functions import clean_float, clean_text, parse_dateid, parse_excel_serial
+from ..functions import clean_float, clean_text, excel_serial_of, parse_dateid, parse_excel_serial
+from ..operators.scan import prefix_count
 from .schema import EXPORT_HEADER, SOURCE_SCHEMA
 
 FILE_SLOT = 1 << 40  # room for row positions inside one file
@@ -67,16 +73,74 @@ def balance_partitions(df: DataFrame) -> DataFrame:
     return df
 
 
+def _inside_quotes(line: str, quote: str, escape: str) -> F.Column:
+    """Whether a line has an odd number of quotes: it opens or closes a field that goes on over lines.
+
+    A doubled quote counts twice; one after an escape character of another
+    kind does not count.  Quotes stand only around and, escaped, in fields.
+    """
+    text = F.col(line)
+    if escape and escape != quote:
+        text = F.regexp_replace(text, re.escape(escape) + "(?s:.)", "")
+    return (F.length(text) - F.length(F.replace(text, F.lit(quote), F.lit("")))) % 2 == 1
+
+
+def _csv_records(spark: SparkSession, path, options: dict) -> DataFrame | None:
+    """Whole records of CSV files with ``src_ordinal`` of their first lines, or None if every record is one line."""
+    quote, escape = options.get("quote", '"'), options.get("escape", "\\")
+    if not quote:
+        return None
+    text = spark.read.format("text").option("lineSep", "\n")
+    for k in ("encoding", "pathGlobFilter", "recursiveFileLookup"):
+        if k in options:
+            text = text.option(k, options[k])
+    lines = _with_ordinal(spark, text.load(path), "text", None).withColumn("_odd", _inside_quotes("value", quote, escape))
+    if not lines.select("_odd").filter("_odd").limit(1).count():
+        return None
+    # files in a few columns: an ordinal's upper part is its file
+    lines = lines.withColumn("_file", F.floor(F.col("src_ordinal") / F.lit(FILE_SLOT)))
+    lines = prefix_count(lines, ["_file"], "src_ordinal", "_odd", "_quotes")
+    lines = lines.withColumn("_begins", F.col("_quotes") % 2 == 0)
+    # lines of one record: the line that begins it, and those that begin inside a field, up to the next one
+    lines = prefix_count(lines, ["_file"], "src_ordinal", "_begins", "_before").withColumn(
+        "_record", F.col("_before") + F.col("_begins").cast("int"))
+    whole = lines.groupBy("_file", "_record").agg(F.sort_array(F.collect_list(F.struct("src_ordinal", "value"))).alias("l"))
+    return whole.select(F.array_join(F.transform("l", lambda x: F.regexp_replace(x["value"], "\r$", "")), "\n").alias("value"),
+                        F.element_at("l", 1)["src_ordinal"].alias("src_ordinal"), "_file", "_record")
+
+
+def _parsed_records(spark: SparkSession, records: DataFrame, header: list[str], options: dict) -> DataFrame:
+    """Fields of the records by the header; the header's own record of each file goes."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    known = {k: v for k, v in options.items() if k in ("sep", "delimiter", "quote", "escape", "nullValue", "emptyValue", "ignoreLeadingWhiteSpace",
+                                                     "ignoreTrailingWhiteSpace", "charToEscapeQuoteEscaping")}
+    body = records.filter((F.col("_record") > 1) & (F.trim("value") != ""))
+    # the file reader's way with blanks around values, unless the options say otherwise
+    fields = F.from_csv("value", schema.simpleString() if all(c.isidentifier() for c in header) else _ddl(header), {"multiLine": "true", **{k: str(v) for k, v in known.items()}})
+    return body.select("src_ordinal", fields.alias("f")).select("src_ordinal", "f.*")
+
+
+def _ddl(names: list[str]) -> str:
+    return ", ".join("`" + n.replace("`", "``") + "` string" for n in names)
+
+
 def scan_export(spark: SparkSession, path: str | list[str], fmt: str = "csv",
                 options: dict | None = None, ordinal_col: str | None = None) -> DataFrame:
     """Read the export once, all columns as text, plus ``src_ordinal``."""
+    options = dict(options or {})
     reader = spark.read.format(fmt)
     if fmt == "csv":
         reader = reader.option("header", "true").option("inferSchema", "false").option("multiLine", "false")
-    for k, v in (options or {}).items():
+    for k, v in options.items():
         reader = reader.option(k, v)
     df = reader.load(path)
-    df = _with_ordinal(spark, df, fmt, ordinal_col)  # needs the scan's own partitions
+    records = _csv_records(spark, path, options) if fmt == "csv" else None
+    if records is not None:
+        df = _parsed_records(spark, records, df.columns, options)
+        if ordinal_col and ordinal_col in df.columns:
+            df = df.withColumn("src_ordinal", F.col(ordinal_col).try_cast("bigint"))
+    else:
+        df = _with_ordinal(spark, df, fmt, ordinal_col)  # needs the scan's own partitions
     df = norm_header(balance_partitions(df))
     return prepare_source(df)
 
@@ -116,3 +180,9 @@ def prepare_source(df: DataFrame) -> DataFrame:
             v = c.cast("string")
         cols.append(v.alias(canon))
     return df.select(F.col("src_ordinal").cast("bigint").alias("src_ordinal"), *cols).select(*SOURCE_SCHEMA.names)
+
+
+def export_rows(src: DataFrame) -> DataFrame:
+    """Prepared rows as an export's texts under its header, with ``src_ordinal``."""
+    texts = {"visit_date": F.date_format("visit_date", "yyyyMMdd"), "responsedate": F.format_string("%.12f", excel_serial_of("responsedate"))}
+    return src.select("src_ordinal", *[texts.get(canon, F.col(canon).cast("string")).alias(raw) for raw, canon in EXPORT_HEADER.items()])

@@ -3,8 +3,8 @@
 ``readStream`` on the export folder (file source, schema given up front) feeds
 ``foreachBatch``; the batch is prepared like a file export and handed to the
 batch pipeline unchanged.  Loads replace by visit, so a re-delivered file is
-harmless for the tables; validation findings are appended per run, so a batch
-already present in the run log is skipped (exactly-once findings per batch).
+harmless for the tables; a batch is one request of validation, so that one that
+is run again after a crash has one set of findings.
 """
 
 from __future__ import annotations
@@ -64,7 +64,7 @@ def start_export_feed(spark: SparkSession, input_dir: str, store_root: str, colu
         store = TableStore(session, store_root)
         if _state.batch_done(store, feed[0], batch_id):
             return
-        pipeline.run(session, _batch_source(batch), store, mode=mode, batch_id=batch_id)
+        pipeline.run(session, _batch_source(batch), store, mode=mode, batch_id=batch_id, request_id=f"{feed[0]}/{batch_id}")
         _state.mark_done(session, store, feed[0], batch_id)
 
     # the same folder in every session, so that a restart goes on where it was
