@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from shelfscan.constants import TASK_TABLE_MAP, TITLE_TABLE_MAP
 from shelfscan.plans import pipeline
 from shelfscan.plans.etl import run_etl
 from shelfscan.sources import events_source
@@ -28,7 +29,7 @@ def months_of(spark, n):
 
 def snapshot(store, months):
     out = {}
-    for name in [*(t for t in store.tables() if t.startswith("task_")), "survey_responses", "survey_quarantine", "visits"]:
+    for name in [*TASK_TABLE_MAP.values(), *TITLE_TABLE_MAP.values(), "task_answers", "survey_responses", "survey_quarantine", "visits"]:
         df = store.read(name)
         rows = [] if df is None else df.filter(F.col(MONTH_COL).isin(months)).collect()
         out[name] = sorted((repr(sorted((k, v) for k, v in r.asDict().items() if v is not None)) for r in rows))
