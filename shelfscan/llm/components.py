@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import stored
+from .support import discard, stored
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -18,7 +18,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     one_way = links.select(F.col(a).alias("node"), F.col(b).alias("other")).filter("node <> other")
     edges = stored(one_way.union(one_way.select("other", "node")).distinct(), "links")
-    labels = stored(edges.groupBy("node").agg(F.least("node", F.min("other")).alias("component")), "labels")
+    written = stored(edges.groupBy("node").agg(F.least("node", F.min("other")).alias("component")), "labels")
+    labels = written
     while True:
         near = (edges.join(labels.withColumnRenamed("node", "other"), "other")
                 .groupBy("node").agg(F.min("component").alias("near")))
@@ -27,6 +28,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         moved = stored(hooked.join(up, "low", "left").select(
             "node", F.least("low", F.coalesce("top", "low")).alias("component"),
             (F.least("low", F.coalesce("top", "low")) < F.col("component")).alias("moved")), "labels")
-        labels = moved.select("node", "component")
+        discard(written)
+        written, labels = moved, moved.select("node", "component")
         if not moved.filter("moved").limit(1).count():
+            discard(edges)
             return labels

@@ -196,18 +196,22 @@ class Model:
 def fit(documents: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Samples of the languages of the rows that ``learn`` names.
 
-    A language's excerpts come from the distinct texts of smallest hash, each
-    from a place that its hash gives; copies of a text count once.  At most
+    A language's excerpts come from the distinct texts whose hashes, modulo
+    2^40, are smallest, each from a place that its hash gives; copies of a text
+    count once.  At most
     ``SAMPLE_CHARACTERS`` characters come to the driver.
     """
     text = F.col(text_col).cast("string")
     known = documents.filter(learn & F.col(lang_col).isNotNull() & text.rlike(r"\p{L}")).select(
         F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text).alias("h"), text.alias("text"))
     hashes = known.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("copies"))
-    languages = max(1, hashes.select("lang").distinct().count())
-    excerpts = max(1, min(EXCERPTS, SAMPLE_CHARACTERS // (EXCERPT_CHARACTERS * languages)))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = stored(hashes.withColumn("place", place).filter(F.col("place") <= excerpts).select("lang", "h"), "language-sample")
+    sizes = stored(hashes.groupBy("lang").agg(F.count(F.lit(1)).alias("texts")), "language-sizes")  # a row for each language
+    excerpts = max(1, min(EXCERPTS, SAMPLE_CHARACTERS // (EXCERPT_CHARACTERS * max(1, sizes.count()))))
+    # hashes are evenly spread: a few times as many as are wanted lie under this share of their range
+    low = F.pmod("h", F.lit(1 << 40)) / float(1 << 40) < F.lit(8.0 * excerpts) / F.col("texts")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("order", "h"))
+    few = hashes.join(F.broadcast(sizes), "lang").filter(low).withColumn("order", F.pmod("h", F.lit(1 << 40)))
+    chosen = stored(few.withColumn("place", place).filter(F.col("place") <= excerpts).select("lang", "h"), "language-sample")
     room = F.greatest(F.length("text") - EXCERPT_CHARACTERS + 1, F.lit(1))
     cut = known.join(F.broadcast(chosen), ["lang", "h"]).select(
         "lang", "h", F.substring("text", (F.pmod(F.xxhash64("h"), room) + 1).cast("int"), F.lit(EXCERPT_CHARACTERS)).alias("excerpt"))

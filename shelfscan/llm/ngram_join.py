@@ -3,8 +3,9 @@
 Every document is its set of distinct shingles.  In an order of all shingles
 that puts rare ones first, two sets of enough likeness share one of their
 first few: documents are joined on these prefixes, candidates are thinned by
-their sizes, by the positions of the shared shingle and by counts of all
-shingles in hashed buckets, and what is left is verified once on whole sets.
+their sizes, by the positions of the shared shingle and by what follows it
+(counts of shingles in hashed buckets), and what is left is verified once on
+whole sets.
 
 Components need not know all links.  Lists of documents with a common prefix
 shingle are first linked to one of theirs only; later steps look only at pairs
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .support import partitions, small_batches, stored, text_or_empty
+from .support import discard, partitions, small_batches, stored, text_or_empty
 from .words import distinct_shingles, mix64
 
 #: Words in a shingle, and the least likeness of a link in hundredths.
@@ -31,10 +32,10 @@ WORDS, PERCENT = 5, 75
 TABLE_BITS = 20
 #: Counters in one row of the table on its way.
 _BLOCK = 1 << 14
-#: Bits of the table of wanted documents: 1 MB.  It only thins out what an exact join checks.
-WANTED_BITS = 20
-#: Members of a list that travel as one row.
-CHUNK_MEMBERS = 512
+#: Bits of the table of wanted documents, by their number: at most 2 MB.  It only thins out what an exact join checks.
+WANTED_BITS = (20, 24)
+#: Members of a list that travel as one row, and the length from which lists carry bitmaps of their members' sets.
+CHUNK_MEMBERS, LONG_LIST = 512, 32
 #: Candidates of a document in the step before the last; the last takes all that are left.
 LIKELIEST = 8
 
@@ -77,10 +78,46 @@ def _table(blocks: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _wanted(ids: DataFrame) -> np.ndarray:
-    blocks = ids.select("id").mapInArrow(
-        _count_blocks(WANTED_BITS, lambda b: [mix64(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))]), "block int, counts binary")
-    return _table(blocks, WANTED_BITS) > 0
+class _Wanted:
+    """Whether an id may be among some: one bit for each hash."""
+
+    def __init__(self, table: np.ndarray):
+        self.table, self.bits = table, int(len(table) * 8).bit_length() - 1
+
+    def __call__(self, ids: np.ndarray) -> np.ndarray:
+        at = mix64(ids.view(np.uint64)) >> np.uint64(64 - self.bits)
+        return (self.table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _wanted(ids: DataFrame) -> _Wanted:
+    low, high = WANTED_BITS
+    bits = min(max(low, (8 * ids.count()).bit_length()), high)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << bits - 3, np.uint8)
+        for batch in batches:
+            at = mix64(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) >> np.uint64(64 - bits)
+            np.bitwise_or.at(table, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        for block in range(0, len(table), _BLOCK):
+            part = table[block:block + _BLOCK]
+            if part.any():
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "marks": pa.array([part.tobytes()], pa.binary())})
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, marks in zip(batch.column("block").to_pylist(), batch.column("marks").to_pylist()):
+                part = np.frombuffer(marks, np.uint8)
+                held[block] = held[block] | part if block in held else part
+        for block, marks in held.items():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "marks": pa.array([marks.tobytes()], pa.binary())})
+
+    marked = ids.select("id").mapInArrow(mark, "block int, marks binary")
+    got = marked.repartition(partitions(ids.sparkSession), "block").mapInArrow(join, "block int, marks binary").toArrow()
+    out = np.zeros(1 << bits - 3, np.uint8)
+    for block, marks in zip(got.column("block").to_pylist(), got.column("marks").to_pylist()):
+        out[block:block + _BLOCK] |= np.frombuffer(marks, np.uint8)
+    return _Wanted(out)
 
 
 # --- documents ---------------------------------------------------------------
@@ -134,6 +171,15 @@ def _needed(n_a, n_b):
     return -(-PERCENT * (n_a + n_b) // (100 + PERCENT))
 
 
+def _prefix_length(n: int) -> int:
+    return n - -(-PERCENT * n // 100) + 1
+
+
+def _rare_first(found: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Places of a set's shingles in the order of all shingles."""
+    return np.lexsort((found, table[(found >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]))
+
+
 def _prefixes(kept):
     """Prefix shingles of every set with their positions, rare ones first by the table of counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,8 +190,8 @@ def _prefixes(kept):
                 n = len(found)
                 if not n:
                     continue
-                length = n - -(-PERCENT * n // 100) + 1
-                order = np.lexsort((found, table[(found >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]))[:length]
+                length = _prefix_length(n)
+                order = _rare_first(found, table)[:length]
                 ids.append(key)
                 shingles.append(found[order].view(np.int64))
                 places.append((np.int64(n) << np.int64(32)) + np.arange(length, dtype=np.int64))
@@ -155,7 +201,7 @@ def _prefixes(kept):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in the order of their shingles, those whose shingle is in another row too."""
+    """Of sorted rows, those whose shingle is in another row too; equal rows count once."""
     names = ["shingle", "id", "place"]
     last = None  # the last row so far, not given out yet
     open_run = False  # whether rows of its shingle came before it
@@ -165,6 +211,9 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = [batch.column(n).to_numpy() for n in names]
         if last is not None:
             cols = [np.concatenate([[v], c]) for v, c in zip(last, cols)]
+        again = np.zeros(len(cols[0]), bool)  # the same posting as the one before, of a repeated row
+        again[1:] = np.all([c[1:] == c[:-1] for c in cols], axis=0)
+        cols = [c[~again] for c in cols]
         s = cols[0]
         same = s[1:] == s[:-1]
         keep = np.zeros(len(s), bool)
@@ -214,21 +263,20 @@ def _with_signatures(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b) of the pairs whose whole sets are alike enough; sets are made anew for their documents alone."""
     spark = documents.sparkSession
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    kept = spark.sparkContext.broadcast(_wanted(ids))
+    sides = [spark.sparkContext.broadcast(_wanted(pairs.select(F.col(c).alias("id")).distinct())) for c in "ab"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column("id").to_numpy()
-            batch = batch.filter(pa.array(kept.value[(mix64(keys.view(np.uint64)) >> np.uint64(64 - WANTED_BITS)).astype(np.int64)]))
+            ids = batch.column("id").to_numpy()
+            on = [side.value(ids) for side in sides]
+            batch = batch.append_column("on_a", pa.array(on[0])).append_column("on_b", pa.array(on[1])).filter(pa.array(on[0] | on[1]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([s.view(np.int64) for s in distinct_shingles(batch.column("text"), WORDS)], pa.list_(pa.int64()))],
-                names=["id", "found"])
+                [batch.column("id"), pa.array([s.view(np.int64) for s in distinct_shingles(batch.column("text"), WORDS)], pa.list_(pa.int64())),
+                 batch.column("on_a"), batch.column("on_b")], names=["id", "found", "on_a", "on_b"])
 
-    sets = documents.mapInArrow(run, "id long, found array<long>").join(ids, "id", "left_semi")
-    sets = stored(sets, "jaccard-sets")
-    both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("found").alias("set_a")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("found").alias("set_b")), "b"))
+    sets = stored(documents.mapInArrow(run, "id long, found array<long>, on_a boolean, on_b boolean"), "jaccard-sets")
+    both = (pairs.join(sets.filter("on_a").select(F.col("id").alias("a"), F.col("found").alias("set_a")), "a")
+            .join(sets.filter("on_b").select(F.col("id").alias("b"), F.col("found").alias("set_b")), "b"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,7 +287,9 @@ def _verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
                 keep.append(100 * same >= PERCENT * (len(x) + len(y) - same))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return stored(both.mapInArrow(check, "a long, b long"), "jaccard-links")
+    links = stored(both.mapInArrow(check, "a long, b long"), "jaccard-links")
+    discard(sets)
+    return links
 
 
 def _distinct_lists(shared: DataFrame) -> DataFrame:
@@ -250,91 +300,167 @@ def _distinct_lists(shared: DataFrame) -> DataFrame:
     return shared.join(kept, "shingle", "left_semi")
 
 
-def _open_lists(shared: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Members of the lists that are in several components, with these and their sizes."""
-    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    known = labels.join(sizes, "component").select(F.col("node").alias("id"), "component", "members")
-    rows = shared.join(known, "id", "left").select(
-        "shingle", "id", "place", F.coalesce("component", "id").alias("component"), F.coalesce("members", F.lit(1)).alias("members"))
+def _open_lists(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the lists that are in several components, with these and the lists' lengths."""
+    rows = shared.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     lists = (rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("length"))
              .filter("lo <> hi").select("shingle", "length"))
-    return rows.join(lists, "shingle").join(sets.select("id", "sig"), "id")
-
+    return stored(rows.join(lists, "shingle"), "jaccard-open")
 
-def _likely_pairs(members: DataFrame) -> DataFrame:
-    """(a, b): for each document the ``LIKELIEST`` of one of its open lists that are in larger components."""
-    chunks, asks = _asked(members, ["id", "place", "sig"])
-    # The longest list stands for all; what it misses is left to the last step.
-    asks = asks.withColumn("place_in", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("length"), "shingle"))).filter("place_in = 1")
-    found = _answers(asks, chunks).select("id", F.expr(_size("place")).alias("n"), "sig", F.expr("transform(chunk, y -> y.id)").alias("ids"),
-                                          F.expr(f"transform(chunk, y -> {_size('y.place')})").alias("sizes"), F.expr("transform(chunk, y -> y.sig)").alias("sigs"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            for key, n, sig, ids, sizes, sigs in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "sig", "ids", "sizes", "sigs"))):
-                apart = ((least_difference(sig, other), m, i) for i, m, other in zip(ids, sizes, sigs))
-                best = sorted((d / (n + m), i) for d, m, i in apart if d <= n + m - 2 * _needed(n, m))[:LIKELIEST]
-                a += [key] * len(best)
-                b += [i for _, i in best]
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def bitmap(found: np.ndarray) -> bytes:
+    """A set's shingles as marks in 8 to 16 times as many bits, by their low bits."""
+    bits = 1 << int(np.clip(np.ceil(np.log2(max(len(found), 1) * 8)), 8, 20))
+    marks = np.zeros(bits, bool)
+    marks[(found & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(marks, bitorder="little").tobytes()
 
-    return found.mapInArrow(run, "a long, b long")
 
+def _details(documents: DataFrame, ids: DataFrame, table, repeated: bool) -> DataFrame:
+    """(id, n, sig, first, bits): signatures and bitmaps of the documents' sets, and the signature's bucket of each
+    prefix shingle in the prefix's order.
 
-def _all_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): every pair of documents in different components that shares a list and passes all filters.
-
-    Lists answer in chunks of ids, so that what a document's lists have in
-    common is dropped before pairs become rows.
+    Texts of one id have a row each, and equal ones of an id one together
+    (``repeated`` says whether there are such).  Some other documents may be there too.
     """
-    spark = members.sparkSession
-    chunks, asks = _asked(members, ["id", "place"])
-    found = _answers(asks, chunks).select(F.col("id").alias("a"), F.expr("transform(chunk, y -> y.id)").alias("ids"))
+    kept = documents.sparkSession.sparkContext.broadcast(_wanted(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, parts = None, []
-
-        def answer():
-            ids = np.unique(np.concatenate(parts))
-            return pa.RecordBatch.from_pydict({"a": np.full(len(ids), a, np.int64), "b": ids})
-
         for batch in batches:
-            for key, ids in zip(batch.column("a").to_pylist(), batch.column("ids")):
-                if key != a:
-                    if parts:
-                        yield answer()
-                    a, parts = key, []
-                parts.append(ids.values.to_numpy())
-        if parts:
-            yield answer()
-
-    pairs = found.repartition(partitions(spark), "a").sortWithinPartitions("a").mapInArrow(run, "a long, b long")
-    return _with_signatures(pairs, sets).mapInArrow(_signature_filter, "a long, b long")
-
-
-def _size(place: str) -> str:
-    return f"shiftright({place}, 32)"
+            batch = batch.filter(pa.array(kept.value(batch.column("id").to_numpy())))
+            sizes, sigs, firsts, maps = [], [], [], []
+            for found in distinct_shingles(batch.column("text"), WORDS):
+                sig = signature(found)
+                order = _rare_first(found, table.value)[:_prefix_length(len(found))]
+                sizes.append(len(found))
+                sigs.append(sig)
+                firsts.append((found[order] & np.uint64(len(sig) - 1)).astype("<u2").tobytes())
+                maps.append(bitmap(found))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), *(pa.array(c, pa.binary()) for c in (sigs, firsts, maps))],
+                                             names=["id", "n", "sig", "first", "bits"])
+
+    made = documents.mapInArrow(run, "id long, n long, sig binary, first binary, bits binary")
+    return stored(made.distinct() if repeated else made, "jaccard-details")
+
+
+def _with_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings with the counts of the shingles that follow theirs; empty where a count may be larger than it says."""
+    for batch in batches:
+        rest = []
+        for sig, first, place in zip(batch.column("sig"), batch.column("first"), batch.column("place").to_pylist()):
+            sig = np.frombuffer(sig.as_buffer(), np.uint8)
+            before = np.frombuffer(first.as_buffer(), "<u2")[:(place & ((1 << 32) - 1)) + 1]
+            rest.append(b"" if (sig == 255).any() else (sig - np.bincount(before, minlength=len(sig))).astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("shingle", "length", "id", "place", "component")), pa.array(rest, pa.binary()), batch.column("bits")],
+                                         names=["shingle", "length", "id", "place", "component", "rest", "bits"])
+
+
+class _Rows:
+    """Byte strings of members, each a power of two long, folded to a common width where two are compared."""
+
+    def __init__(self, column: pa.Array, fold):
+        self.rows = [np.frombuffer(x.as_buffer(), np.uint8) for x in column]
+        self.width = np.array([len(x) for x in self.rows], np.int64)
+        self.fold, self.folded = fold, {}
+
+    def at(self, width: int) -> np.ndarray:
+        """One row of that width for each member that has it or more."""
+        if width not in self.folded:
+            self.folded[width] = np.array([self.fold(r.reshape(-1, width)) if len(r) >= width else np.zeros(width, np.int64) for r in self.rows])
+        return self.folded[width]
+
+
+class _Block:
+    """Members of a list: ids, sizes, places of the list's shingle, components, counts of what follows it, bitmaps."""
+
+    def __init__(self, members: pa.Array):
+        cols = {f.name: members.field(i) for i, f in enumerate(members.type)}
+        self.id, self.component = cols["id"].to_numpy(), cols["component"].to_numpy()
+        place = cols["place"].to_numpy()
+        self.n, self.at = place >> 32, place & ((1 << 32) - 1)
+        self.rest = _Rows(cols["rest"], lambda r: r.sum(0, dtype=np.int32))
+        self.bits = _Rows(cols["bits"], lambda r: np.bitwise_or.reduce(r, axis=0).astype(np.uint8))
+
+
+def _apart(a: _Rows, b: _Rows, x: np.ndarray, y: np.ndarray, distance) -> np.ndarray:
+    """Distances of pairs of rows at the smaller width of both; 0 where one is empty."""
+    out = np.zeros(len(x), np.int64)
+    width = np.minimum(a.width[x], b.width[y])
+    for w in np.unique(width[width > 0]):
+        rows = np.flatnonzero(width == w)
+        for part in np.array_split(rows, 1 + len(rows) * int(w) // (1 << 22)):
+            out[part] = distance(a.at(int(w))[x[part]], b.at(int(w))[y[part]])
+    return out
 
 
-def _asked(members: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Lists in chunks of members with these columns, and the rows that ask."""
+def likely_links(a: _Block, b: _Block, same: bool, best: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the members of two blocks of a list that may be linked, by all filters; with ``best``, that many likeliest of each."""
+    n_a, n_b = a.n[:, None], b.n[None, :]
+    least = _needed(n_a, n_b)
+    most = np.minimum(a.at[:, None], b.at) + 1 + np.minimum(n_a - a.at[:, None], n_b - b.at) - 1
+    fits = (a.component[:, None] != b.component) & (a.id[:, None] != b.id) & (100 * n_a >= PERCENT * n_b) & (100 * n_b >= PERCENT * n_a) & (most >= least)
+    if same:
+        fits &= np.triu(np.ones(fits.shape, bool))
+    x, y = np.nonzero(fits)
+    allowed = (n_a + n_b - 2 * least)[x, y]
+    # suffix filter: what follows the shared shingle is apart by its counts at least, what comes before by its number
+    suffix = np.abs(a.at[x] - b.at[y]) + _apart(a.rest, b.rest, x, y, lambda u, v: np.abs(u - v).sum(1))
+    keep = suffix <= allowed
+    x, y, suffix, allowed = x[keep], y[keep], suffix[keep], allowed[keep]
+    # in long lists: a mark that only one has stands for a shingle that only one has
+    marks = _apart(a.bits, b.bits, x, y, lambda u, v: np.bitwise_count(u ^ v).sum(1))
+    keep = marks <= allowed
+    x, y, apart = x[keep], y[keep], np.maximum(suffix, marks)[keep]
+    if best is not None:
+        order = np.lexsort((b.id[y], apart / (a.n[x] + b.n[y]), x))
+        first = np.searchsorted(x[order], np.arange(len(a.id)))
+        order = order[np.arange(len(order)) - first[x[order]] < best]
+        x, y = x[order], y[order]
+    return a.id[x], b.id[y]
+
+
+def _block_pairs(members: DataFrame, details: DataFrame, last: bool) -> DataFrame:
+    """(a, b), written: pairs of documents in different components that share a list and pass all filters.
+
+    Lists travel in blocks of members, and blocks meet as wholes: pairs become
+    rows only where all filters have let them through.  Before the last step
+    each document is compared in its longest list, within its block, and has
+    the ``LIKELIEST`` found; the last step compares all blocks of all lists.
+    """
+    if not last:
+        rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("length"), "shingle"))
+        members = members.withColumn("rank", rank).filter("rank = 1").drop("rank")
+    long = F.when(F.col("length") > LONG_LIST, F.col("bits")).otherwise(F.lit(b""))
+    rows = (members.withColumn("n", F.shiftright("place", 32)).join(details, ["id", "n"])
+            .select("shingle", "length", "id", "place", "component", "sig", "first", long.alias("bits"))
+            .mapInArrow(_with_rest, "shingle long, length long, id long, place long, component long, rest binary, bits binary"))
     salt = F.pmod(F.xxhash64("id"), F.ceil(F.col("length") / CHUNK_MEMBERS))
-    chunks = members.groupBy("shingle", salt.alias("salt")).agg(F.collect_list(F.struct("members", "component", *columns)).alias("chunk")).drop("salt")
-    return chunks, members.select("shingle", "length", "members", "component", *columns)
-
+    blocks = (rows.groupBy("shingle", salt.alias("salt"))
+              .agg(F.max("length").alias("length"), F.collect_list(F.struct("id", "place", "component", "rest", "bits")).alias("members")))
+    alone = F.lit(None).cast("array<struct<id:bigint,place:bigint,component:bigint,rest:binary,bits:binary>>").alias("members_b")
+    if last:
+        blocks = stored(blocks, "jaccard-blocks")
+        several = blocks.filter(F.col("length") > CHUNK_MEMBERS)
+        other = several.select("shingle", F.col("salt").alias("salt_b"), F.col("members").alias("members_b"))
+        meets = several.join(other, "shingle").filter("salt < salt_b").select("members", "members_b")
+        pairs = blocks.filter("size(members) > 1").select("members", alone).unionByName(meets)
+    else:
+        pairs = blocks.filter("size(members) > 1").select("members", alone)
 
-def _answers(asks: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Asking rows with the chunk's members of larger components that pass the length and positional filters.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, two in zip(batch.column("members"), batch.column("members_b")):
+                a = _Block(one.values)
+                b = _Block(two.values) if two.is_valid else a
+                found = likely_links(a, b, a is b, None if last else LIKELIEST)
+                if len(found[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()) for f in found], names=["a", "b"])
 
-    The document of the smaller component asks, so that no pair is asked twice.
-    """
-    low = (1 << 32) - 1
-    ny, ay, nx, ax = _size("y.place"), f"(y.place & {low}L)", _size("place"), f"(place & {low}L)"
-    fits = f"""filter(chunk, y -> (y.members > members or (y.members = members and y.component > component))
-        and 100 * {ny} >= {PERCENT} * {nx} and 100 * {nx} >= {PERCENT} * {ny}
-        and {100 + PERCENT} * (least({ax}, {ay}) + least({nx} - {ax}, {ny} - {ay})) >= {PERCENT} * ({nx} + {ny}))"""
-    return asks.join(chunks, "shingle").withColumn("chunk", F.expr(fits)).filter("size(chunk) > 0")
+    found = pairs.mapInArrow(run, "a long, b long")
+    found = stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
+    if last:
+        discard(blocks)
+    return found
 
 
 def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -361,21 +487,31 @@ def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     keyed = docs.filter("id is not null")
     made = keyed.mapInArrow(_prefixes(table), "id long, shingles array<long>, places array<long>")
     postings = made.select("id", F.explode(F.arrays_zip("shingles", "places")).alias("z")).select(F.col("z.shingles").alias("shingle"), "id", F.col("z.places").alias("place"))
-    listed = (postings.repartition(partitions(spark), "shingle").sortWithinPartitions("shingle")
+    listed = (postings.repartition(partitions(spark), "shingle").sortWithinPartitions("shingle", "id", "place")
               .mapInArrow(_shared, "shingle long, id long, place long"))
     reps = classes.select(F.col("rep").alias("id"))
-    shared = stored(_distinct_lists(stored(listed.join(reps, "id", "left_semi"), "jaccard-lists")), "jaccard-lists")
+    lists = stored(listed.join(reps, "id", "left_semi"), "jaccard-lists")
+    shared = stored(_distinct_lists(lists), "jaccard-lists")
+    discard(lists)
     sets = first.filter("block is null").select("id", "n", "sig").join(reps, "id", "left_semi")
 
     alike = members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     tried = stored(_star_pairs(shared, sets), "jaccard-pairs")
     links = _verified(keyed, tried)
+    details = None
     for last in (False, True):
-        members = _open_lists(shared, connected_components(links), sets)
-        pairs = _all_pairs(members, sets) if last else _likely_pairs(members)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
-        links, tried = stored(links.union(_verified(keyed, pairs)), "jaccard-links"), stored(tried.union(pairs), "jaccard-pairs")
+        members = _open_lists(shared, connected_components(links))
+        if details is None:
+            repeated = bool(real.groupBy("id", "print").count().filter("count > 1").limit(1).count())
+            details = _details(keyed, members.select("id").distinct(), table, repeated)
+        found = _block_pairs(members, details, last)
+        pairs = stored(found.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+        discard(members, found)
+        more = _verified(keyed, pairs)
+        every, done = stored(links.union(more), "jaccard-links"), stored(tried.union(pairs), "jaccard-pairs")
+        discard(links, more, tried, pairs)
+        links, tried = every, done
+    discard(shared, details)
     found = connected_components(links.union(alike))
     return (rows.join(found.withColumnRenamed("node", "id"), "id", "left")
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")))
@@ -396,8 +532,7 @@ def first_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     def marked(listed: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keys = batch.column(at).cast(pa.int64()).fill_null(0).to_numpy()
-                hit = kept.value[(mix64(keys.view(np.uint64)) >> np.uint64(64 - WANTED_BITS)).astype(np.int64)]
+                hit = kept.value(batch.column(at).cast(pa.int64()).fill_null(0).to_numpy())
                 yield batch.filter(pa.array(hit if listed else ~hit))
         return documents.mapInArrow(run, documents.schema)
 
