@@ -91,8 +91,18 @@ class Print:
     whole: int
     subsets: np.ndarray
 
+    @property
+    def shown(self) -> np.ndarray:
+        """The part of each subset's hash that the text shows, and that likeness goes by (0: no terms)."""
+        return (self.subsets & np.uint64(0xFFFF)).astype(">u2")
+
     def text(self) -> str:
-        return f"{self.whole:016x}" + (self.subsets & np.uint64(0xFFFF)).astype(">u2").tobytes().hex()
+        return f"{self.whole:016x}" + self.shown.tobytes().hex()
+
+    @classmethod
+    def of(cls, text: str) -> Print:
+        """The fingerprint that a text shows."""
+        return cls(int(text[:16], 16), np.frombuffer(bytes.fromhex(text[16:]), ">u2").astype(np.uint64))
 
 
 def fingerprint(terms: np.ndarray, band: np.ndarray) -> Print:
@@ -117,14 +127,14 @@ def fingerprint(terms: np.ndarray, band: np.ndarray) -> Print:
 
 
 def likeness(a: Print, b: Print) -> float:
-    """1 for equal fingerprints, else the estimated Jaccard likeness of the term sets.
+    """1 for equal fingerprints, else the estimated Jaccard likeness of the term sets, by what the fingerprints show.
 
     Over subsets of shares 1/2, 1/4, ..., the expected number of agreeing
     non-empty subsets of a partition is -log2(1 - J).
     """
     if a.whole == b.whole:
         return 1.0
-    agree = int(np.count_nonzero((a.subsets == b.subsets) & (a.subsets != 0)))
+    agree = int(np.count_nonzero((a.shown == b.shown) & (a.shown != 0)))
     return 1.0 - 2.0 ** (-agree / GROUPS)
 
 

@@ -38,9 +38,15 @@ TREES, DEPTH, STEP = 20, 4, 0.3
 
 # Fixed lists: elements of HTML, and words of class, id and role attributes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var br img wbr".split())
-#: Elements without main text of their own: never part of the result.
-DROPPED = frozenset("script style noscript template head title iframe object embed svg canvas audio video map form button select textarea input option datalist dialog".split())
+#: Elements that end an open paragraph, and the other ones that are blocks; all elements beside these, also unknown ones, are inline.
+ENDS_P = frozenset(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr "
+    "listing main menu nav ol p plaintext pre search section summary table ul xmp li dt dd".split())
+BLOCKS = ENDS_P | frozenset("html body tr td th thead tbody tfoot caption legend".split())
+#: Elements without main text of their own: never part of the result, and no end of a block.
+DROPPED = frozenset("script style template head title iframe embed svg math canvas audio video map button select textarea input option optgroup datalist".split())
+#: Elements that are dropped as well, unless they hold half of the page's text or more: then they stand around the page, not in it.
+HOLDERS = frozenset("form noscript dialog object".split())
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}, "option": {"option"},
@@ -89,7 +95,7 @@ class _Builder(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in CLOSES:
             self._close(CLOSES[tag], SCOPES - CLOSES[tag])
-        elif tag not in INLINE and tag not in VOID:
+        if tag in ENDS_P:
             self._close({"p"}, SCOPES)
         found = [w for name, value in attrs if name in ("class", "id", "role") and value for w in re.split(r"[^a-z]+", value.lower()) if w]
         node = Node(tag, tuple(found), self.at)
@@ -99,9 +105,7 @@ class _Builder(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag not in INLINE:
-            return
-        if tag not in VOID:
+        if tag not in VOID and tag not in BLOCKS:  # HTML knows the slash for blocks as little as for any other
             self.at = self.at.parent or self.root
 
     def handle_endtag(self, tag: str) -> None:
@@ -116,11 +120,30 @@ def parse(html: str) -> Node:
     builder = _Builder()
     builder.feed(html)
     builder.close()
+    _open_holders(builder.root)
     return builder.root
 
 
+def _open_holders(root: Node) -> None:
+    """Make holders of half of the page's text or more plain containers, and drop the others."""
+    order, sizes = [root], {}
+    for node in order:
+        if node.tag not in DROPPED:
+            order.extend(c for c in node.children if isinstance(c, Node))
+    for node in reversed(order):
+        sizes[id(node)] = 0 if node.tag in DROPPED else sum(
+            sizes[id(c)] if isinstance(c, Node) else len(c) - c.count(" ") - c.count("\n") for c in node.children)
+    for node in order:
+        if node.tag in HOLDERS:
+            node.tag, node.words = ("div", ()) if 2 * sizes[id(node)] >= sizes[id(root)] > 0 else ("template", ())
+
+
+def is_inline(tag: str) -> bool:
+    return tag not in BLOCKS and tag not in DROPPED and tag[0] != "#"
+
+
 def is_block(node) -> bool:
-    return isinstance(node, Node) and node.tag not in INLINE and node.tag not in DROPPED
+    return isinstance(node, Node) and not is_inline(node.tag) and node.tag not in DROPPED
 
 
 def holds_blocks(node: Node) -> bool:
@@ -130,7 +153,7 @@ def holds_blocks(node: Node) -> bool:
         child = stack.pop()
         if is_block(child):
             return True
-        if isinstance(child, Node) and child.tag in INLINE:
+        if isinstance(child, Node) and is_inline(child.tag):
             stack.extend(child.children)
     return False
 
@@ -229,7 +252,7 @@ class Page:
                     self.stats[up].dropped += 1
                 continue
             at, words = up, over
-            if node.tag not in INLINE:
+            if not is_inline(node.tag):
                 mine = self._own_words(node)
                 if up >= 0:
                     seen[up] += 1
@@ -487,7 +510,7 @@ def text_of(root: Node, inside: dict[tuple[int, int], bool]) -> str:
         elif node.tag == "br":
             blocks[-1].append(" ")
         elif node.tag not in DROPPED:
-            if node.tag not in INLINE:
+            if not is_inline(node.tag):
                 if up:
                     seen[up] += 1
                 up = id(node)
@@ -515,7 +538,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     Null and empty pages and those without main text have an empty text;
     repeated rows are extracted each, other columns are ignored, and an empty
-    table gives an empty table.  Without a page that marks its text there is
+    table gives an empty table.  A block is an element that HTML lays out as
+    one; a table's row is a block, whose cells are joined by a space.  Forms and
+    the like are left out, but for those that stand around the page.  Without a page that marks its text there is
     no model, and all text but forms, scripts and styles is taken.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))

@@ -6,7 +6,8 @@ Sites add what they know: the expected number of good documents of a host is
 summed over all its documents, labelled or not, and shrunk towards the global
 share; a path's is shrunk towards its host's.  How strongly sparse sites shrink
 is estimated from how much sites differ.  A document's posterior combines its
-path's share, as the prior, with its own evidence.
+path's share, as the prior, with its own evidence; what the document itself
+added to the shares is taken off first, so that its evidence counts once.
 
 Texts become bins within tasks; all that is learnt is grouped aggregation, and
 a hot host is added up within tasks before it is shuffled.
@@ -126,11 +127,17 @@ def _strength(sites: DataFrame, good: str, n: str, towards: Column) -> float:
 
 @dataclass
 class Model:
-    """What the documents' own features say, and the shares of good documents by host and path."""
+    """What the documents' own features say, and the sums of good documents by host and path.
+
+    ``share`` is that of good documents among the labelled ones, ``overall``
+    the expected one among all.
+    """
     ratios: dict[tuple[int, int], float]
+    share: float
     sites: DataFrame
-    host_strength: float
-    path_strength: float
+    overall: float = 0.5
+    host_strength: float = 0.0
+    path_strength: float = 0.0
 
     def evidence(self, bins: Column) -> Column:
         """Log likelihood ratio of good against bad; a bin without labelled documents says nothing."""
@@ -138,6 +145,10 @@ class Model:
         parts = F.transform(bins, lambda b, i: F.coalesce(F.get(F.get(rows, i), b), F.lit(0.0)))
         return F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) * TEMPER
 
+    def expected(self, evidence: Column) -> Column:
+        """What a document adds to the good ones of its sites: its probability without them."""
+        return 1 / (1 + F.exp(-evidence) * ((1 - self.share) / self.share))
+
 
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", host_col: str = "source", path_col: str = "lang",
         label_col: str = "quality", learn: Column | None = None) -> Model:
@@ -151,31 +162,35 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", host_co
     named = documents.select(F.col(id_col).alias("doc"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), text_or_empty().alias("text"))
     featured = stored(with_bins(named).select("doc", "host", "path", F.col("__bins").alias("bins")), "quality-features")
     ratios, share = _evidence(featured, known)
-    model = Model(ratios, featured, 0.0, 0.0)
-    own = 1 / (1 + F.exp(-model.evidence(F.col("bins"))) * ((1 - share) / share))
+    model = Model(ratios, share, featured)
+    own = model.expected(model.evidence(F.col("bins")))
     paths = stored(featured.groupBy("host", "path").agg(F.sum(own).alias("good"), F.count(F.lit(1)).alias("n")), "quality-paths")
     hosts = paths.groupBy("host").agg(F.sum("good").alias("host_good"), F.sum("n").alias("host_n"))
     total = hosts.agg(F.sum("host_good").alias("good"), F.sum("host_n").alias("n")).first()
-    overall = F.lit(((total["good"] or 0.0) + share) / ((total["n"] or 0) + 1))
-    model.host_strength = _strength(hosts, "host_good", "host_n", overall)
-    hosts = hosts.select(F.col("host").alias("h"), _shrunk(F.col("host_good"), F.col("host_n"), overall, F.lit(model.host_strength)).alias("host_share"))
-    sites = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h")
-    model.path_strength = _strength(sites, "good", "n", F.col("host_share"))
-    path_share = _shrunk(F.col("good"), F.col("n"), F.col("host_share"), F.lit(model.path_strength))
-    model.sites = stored(sites.select("host", "path", "host_share", path_share.alias("path_share")), "quality-sites")
+    model.overall = ((total["good"] or 0.0) + share) / ((total["n"] or 0) + 1)
+    model.host_strength = _strength(hosts, "host_good", "host_n", F.lit(model.overall))
+    sites = paths.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).drop("h")
+    host_share = _shrunk(F.col("host_good"), F.col("host_n"), F.lit(model.overall), F.lit(model.host_strength))
+    model.path_strength = _strength(sites.withColumn("host_share", host_share), "good", "n", F.col("host_share"))
+    model.sites = stored(sites.select("host", "path", "good", "n", "host_good", "host_n"), "quality-sites")
     return model
 
 
 def judge(documents: DataFrame, model: Model, host_col: str = "source", path_col: str = "lang") -> DataFrame:
-    """``documents`` with the columns __evidence, __host_share, __path_share, __posterior and __keep.
+    """The ``documents`` that the model was fitted on, with the columns __evidence, __host_share, __path_share, __posterior and __keep.
 
+    The shares are those of the other documents of a document's host and path.
     The sites are joined as a table; only where they turn out small does Spark
     broadcast them.
     """
-    sites = model.sites.toDF("__host", "__path", "__host_share", "__path_share")
+    sites = model.sites.toDF("__host", "__path", "__good", "__n", "__host_good", "__host_n")
     rows = with_bins(documents).withColumn("__evidence", model.evidence(F.col("__bins"))).drop("__bins")
     same = rows[host_col].cast("string").eqNullSafe(sites["__host"]) & rows[path_col].cast("string").eqNullSafe(sites["__path"])
-    placed = rows.join(sites, same, "left").drop("__host", "__path")
+    own = model.expected(F.col("__evidence"))
+    placed = (rows.join(sites, same, "left")
+              .withColumn("__host_share", _shrunk(F.col("__host_good") - own, F.col("__host_n") - 1, F.lit(model.overall), F.lit(model.host_strength)))
+              .withColumn("__path_share", _shrunk(F.col("__good") - own, F.col("__n") - 1, F.col("__host_share"), F.lit(model.path_strength)))
+              .drop("__host", "__path", "__good", "__n", "__host_good", "__host_n"))
     odds = F.col("__path_share") / (1 - F.col("__path_share"))
     placed = placed.withColumn("__posterior", 1 / (1 + F.exp(-F.col("__evidence")) / odds))
     return placed.withColumn("__keep", F.coalesce(F.col("__posterior") >= THRESHOLD, F.lit(True)))

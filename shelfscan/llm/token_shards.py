@@ -44,6 +44,8 @@ FOOTER = struct.Struct("<6Q")
 PER_BUCKET = 4
 #: Ids of a segment, but for a single longer document.
 SEGMENT_IDS = 4_000_000
+#: Segments in a file: it is read as a whole, and has about 100 MB at most unless a single text has more.
+SEGMENTS_A_FILE = 8
 #: Stands for a null key.
 NULL_KEY = -(1 << 63)
 
@@ -263,7 +265,7 @@ def write_shards(documents: DataFrame, path: str, tokenizer: str, end_id: int =
     n = partitions(documents.sparkSession)
     docs = documents.select(F.col(id_col).cast("long").alias("key"), text_or_empty(text_col).alias("text"))
     ordered = docs.repartitionByRange(n, F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
-    ordered.mapInArrow(_segment_writer(tokenizer, end_id), "segment binary").select(F.col("segment").cast("string")).write.text(path)
+    ordered.mapInArrow(_segment_writer(tokenizer, end_id), "segment binary").select(F.col("segment").cast("string")).write.option("maxRecordsPerFile", SEGMENTS_A_FILE).text(path)
     files = documents.sparkSession.read.format("binaryFile").load(path).select("path", "content")
     files.mapInArrow(_ranges, RANGES).write.parquet(f"{path}/{RANGES_FOLDER}")
 

@@ -62,7 +62,7 @@ def test_phrases_equal_a_search_of_the_sample():
 
     samples = {"a": ["the cat sat on the mat, the cat"], "b": ["le chat est sur le tapis; le chat"]}
     model = li.Model(samples).prepare()
-    texts = ["The CAT sat", "le chat sat on zzz", "", "?!", "é" * 1_300 + "mat" * 400, "the"]
+    texts = ["The CAT sat", "le chat est zzz", "", "?!", "é" * 1_300 + "mat" * 400, "the"]
     points = [li._points(t) for t in texts]
     symbols, ends = model.reader.symbols(np.concatenate(points), np.cumsum([len(p) for p in points]))
     got = model.phrases(symbols, ends)
@@ -294,3 +294,124 @@ def test_queries_equal_their_sql(spark, name):
 
     ok, message, _, _ = compare(spark, duck(SF), name, entry.queries()[name], entry.oracle_sql()[name], SF)
     assert ok, message
+
+
+# --- main text: what is one block, and what stands around a page ---------------------
+
+@pytest.mark.parametrize("html, want", [
+    ("<p>A<script>x()</script>B</p>", "AB"), ("<p>A <button>press</button> B</p>", "A B"), ("<p>A <svg><text>t</text></svg>B</p>", "A B"),
+    ("<p>A <iframe src=x>no</iframe>B", "A B"), ("<p>A <picture><img src=a></picture> B</p>", "A B"), ("<p>A <label>l</label> B</p>", "A l B"),
+    ("<p>A <acronym>HTML</acronym> <nobr>one line</nobr> <x-tip>own</x-tip> B</p>", "A HTML one line own B"), ("<p>A <math><mi>x</mi></math>B</p>", "A B"),
+    ("<p>A<div>B</div>C", "A\n\nB\n\nC"), ("<p>A<ul><li>B<li>C</ul>D", "A\n\nB\n\nC\n\nD"), ("<p>A<p>B<hr>C", "A\n\nB\n\nC"),
+    ("<x-page><p>A</p><p>B</p></x-page>", "A\n\nB"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a b\n\nc"), ("<p>A<wbr>B<br>C &amp; &eacute;</p>", "AB C & é"),
+    ("<form action=x><div><p>A long text</p><input><p>and more of it</p></div></form>", "A long text\n\nand more of it"),
+    ("<p>A text that is longer</p><form><p>mail</p><button>go</button></form>", "A text that is longer"),
+    ("<noscript><p>A page without scripts</p></noscript><p>x</p>", "A page without scripts\n\nx"), ("<p>The text</p><dialog>ok?</dialog><object>alt</object>", "The text"),
+])
+def test_blocks(html, want):
+    from shelfscan.llm import html_text as h
+
+    assert h.extract(f"<html><body>{html}</body></html>", h.no_model()) == want
+
+
+def test_states_are_the_likeliest_of_all(spark):
+    """Decoding against every choice of states that keeps ancestors and descendants in accord."""
+    import itertools
+
+    from shelfscan.llm import html_text as h
+
+    rng = np.random.default_rng(1)
+    for html in ("<div><p>a</p><div><p>b</p>c</div></div><p>d</p>", "<div>x<p>a</p>y<p>b</p></div>", "<ul><li>a<li>b<ul><li>c</ul></ul>"):
+        page = h.Page(h.parse(html))
+        page.features()
+        n = len(page.nodes)
+        for _ in range(5):
+            odds = rng.normal(0, 2, n)
+            log = {"in": -np.logaddexp(0, -odds), "out": -np.logaddexp(0, odds), "mixed": np.full(n, np.log(0.5))}
+            best, chosen = -np.inf, None
+            for states in itertools.product(("in", "out", "mixed"), repeat=n):
+                if any(s == "mixed" and not page.kids[i] for i, s in enumerate(states)):
+                    continue
+                if any(up >= 0 and states[up] != "mixed" and states[i] != states[up] for i, up in enumerate(page.parents)):
+                    continue
+                value = sum(log[s][i] for i, s in enumerate(states))
+                if value > best + 1e-12:
+                    best, chosen = value, states
+            assert [s == "in" for s in chosen] == h.decode(page, odds).tolist()
+
+
+# --- fingerprints, site shares, packing ------------------------------------------------
+
+def test_likeness_is_that_of_the_returned_fingerprints(spark):
+    """Fingerprints of whole and edited texts by the definition, and near_* from the two strings alone."""
+    from shelfscan.llm import fingerprint as f
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    texts = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
+    terms = lambda t: {w for w in _terms(t)}
+    counts = {}
+    for _, t in texts:
+        for w in terms(t):
+            counts[w] = counts.get(w, 0) + 1
+    band = {w for w, n in counts.items() if f.MIN_SHARE * len(texts) <= n <= f.MAX_SHARE * len(texts)}
+    got = {r["doc_id"]: r for r in f.edit_likeness(docs).collect()}
+    kept = {}
+    for (i, t), (_, after) in zip(texts, texts[1:] + texts[:1]):
+        half = len(t) // 2
+        r = got[i]
+        own, edited = f.Print.of(r["fingerprint"]), f.Print.of(r["edited_fingerprint"])
+        assert r["near_edited"] == f.likeness(own, edited)
+        assert r["near_next"] == f.likeness(own, f.Print.of(got[texts[(texts.index((i, t)) + 1) % len(texts)][0]]["fingerprint"]))
+        for text, shown in ((t, r["fingerprint"]), (t[:len(t) - half] + after[:half], r["edited_fingerprint"])):
+            found = terms(text)
+            key = frozenset(found & band or found)
+            assert kept.setdefault(key, shown) == shown  # equal lexicon terms, equal fingerprints
+    assert len(set(kept.values())) == len(kept)  # others differ
+
+
+def test_a_document_is_no_witness_of_its_own_site(spark):
+    """Shares of hosts and paths, by hand, without the document itself."""
+    from shelfscan.llm import site_quality as q
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source").withColumn("__host", F.lit("x")).withColumn("__good", F.lit(1))
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = q.fit(docs, labels)
+    rows = [r.asDict() for r in q.judge(docs.drop("__host", "__good"), model).collect()]
+    own = {r["doc_id"]: 1 / (1 + math.exp(-r["__evidence"]) * ((1 - model.share) / model.share)) for r in rows}
+    for r in rows:
+        host = [own[o["doc_id"]] for o in rows if o["source"] == r["source"] and o is not r]
+        path = [own[o["doc_id"]] for o in rows if (o["source"], o["lang"]) == (r["source"], r["lang"]) and o is not r]
+        host_share = (sum(host) + model.host_strength * model.overall) / (len(host) + model.host_strength)
+        path_share = (sum(path) + model.path_strength * host_share) / (len(path) + model.path_strength)
+        assert abs(r["__host_share"] - host_share) < 1e-9 and abs(r["__path_share"] - path_share) < 1e-9
+        odds = math.exp(r["__evidence"]) * path_share / (1 - path_share)
+        assert abs(r["__posterior"] - odds / (1 + odds)) < 1e-9
+
+
+def test_every_piece_goes_into_the_fullest_bin_that_it_fits():
+    """Replays the plan piece by piece: best fit among open bins, the cheapest capacity where none is left, least final size."""
+    from shelfscan.llm import packing as p
+
+    rng = np.random.default_rng(2)
+    for capacities in ((8,), (4, 16), (5, 12, 32)):
+        for _ in range(40):
+            histogram = {int(n): int(rng.integers(1, 9)) for n in rng.choice(np.arange(1, max(capacities) + 1), rng.integers(1, max(capacities) + 1), replace=False)}
+            plan = p.plan(histogram, capacities)
+            rows = sorted(zip(-plan.length, plan.rank, plan.bin, plan.per_bin, plan.offset))
+            sizes, room = [], []  # of all bins opened so far
+            for at, (length, rank, first, per, offset) in enumerate(rows):
+                length = -length
+                after = rows[at + 1][1] if at + 1 < len(rows) and rows[at + 1][0] == -length else histogram[length]
+                for place in range(rank, after):
+                    bin_, fitting = int(first + (place - rank) // per), [r for r in room if r >= length]
+                    if not fitting:
+                        left = histogram[length] - place
+                        opened = p._least_cost(length, left, sum(n * k for n, k in histogram.items() if n < length), sorted(capacities))
+                        count = -(-left // (opened // length))
+                        sizes, room, fitting = sizes + [opened] * count, room + [opened] * count, [opened]
+                    assert room[bin_] == min(fitting)
+                    room[bin_] -= length
+            for b, capacity in enumerate(sizes):
+                at = int(np.searchsorted(plan.bin_first, b, "right")) - 1
+                held = capacity - room[b]
+                assert room[b] >= 0 and plan.bin_used[at] == held and plan.bin_capacity[at] == min(c for c in capacities if c >= held)
