@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import clean_float, clean_text, excel_serial_of, parse_dateid, parse_excel_serial
 from ..operators.scan import prefix_count
@@ -97,8 +97,8 @@ def _csv_records(spark: SparkSession, path, options: dict) -> DataFrame | None:
     lines = _with_ordinal(spark, text.load(path), "text", None).withColumn("_odd", _inside_quotes("value", quote, escape))
     if not lines.select("_odd").filter("_odd").limit(1).count():
         return None
-    # files in a few columns: an ordinal's upper part is its file
-    lines = lines.withColumn("_file", F.floor(F.col("src_ordinal") / F.lit(FILE_SLOT)))
+    # an ordinal's upper part is its file
+    lines = lines.withColumn("_file", F.shiftright("src_ordinal", FILE_SLOT.bit_length() - 1))
     lines = prefix_count(lines, ["_file"], "src_ordinal", "_odd", "_quotes")
     lines = lines.withColumn("_begins", F.col("_quotes") % 2 == 0)
     # lines of one record: the line that begins it, and those that begin inside a field, up to the next one
@@ -111,12 +111,10 @@ def _csv_records(spark: SparkSession, path, options: dict) -> DataFrame | None:
 
 def _parsed_records(spark: SparkSession, records: DataFrame, header: list[str], options: dict) -> DataFrame:
     """Fields of the records by the header; the header's own record of each file goes."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
     known = {k: v for k, v in options.items() if k in ("sep", "delimiter", "quote", "escape", "nullValue", "emptyValue", "ignoreLeadingWhiteSpace",
                                                      "ignoreTrailingWhiteSpace", "charToEscapeQuoteEscaping")}
     body = records.filter((F.col("_record") > 1) & (F.trim("value") != ""))
-    # the file reader's way with blanks around values, unless the options say otherwise
-    fields = F.from_csv("value", schema.simpleString() if all(c.isidentifier() for c in header) else _ddl(header), {"multiLine": "true", **{k: str(v) for k, v in known.items()}})
+    fields = F.from_csv("value", _ddl(header), {k: str(v) for k, v in known.items()})
     return body.select("src_ordinal", fields.alias("f")).select("src_ordinal", "f.*")
 
 

@@ -68,3 +68,42 @@ def test_ordinals_follow_file_order(spark, tmp_root):
     second = got.filter(~F.col("employee_code").isin("E0", "E1")).agg(F.min("src_ordinal")).first()[0]
     assert first < second
     assert got.select("src_ordinal").distinct().count() == got.count() == src.count()
+
+
+def test_answers_over_several_lines(spark, tmp_root):
+    """Records whose quoted fields hold line feeds keep their order and stay one row, over files and splits."""
+    src = events_source(spark, SF_SMALL)
+    wrapped = src.withColumn("response", F.when(F.col("src_ordinal") % 7 == 0, F.concat(F.lit('say "yes",\n\n then '), F.col("response"), F.lit("\n")))
+                             .otherwise(F.col("response")))
+    path = f"{tmp_root}/lines"
+    (raw_export(wrapped).repartitionByRange(3, " QUESTION ").sortWithinPartitions(" QUESTION ").write.option("header", "true")
+     .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path))
+    want = spark.read.option("header", "true").option("multiLine", "true").csv(path)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")  # many splits, some within a field
+    try:
+        got = scan_export(spark, path, "csv").cache()
+        assert got.count() == want.count() == src.count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    key = ["employee_code", "store_code", "question", "response", "task"]
+    raw = [f" {RAW_NAMES[k].upper()} " for k in key]
+    texts = lambda df: sorted(tuple(str(v) for v in r) for r in df.collect())
+    assert texts(got.select(*key)) == texts(want.select(*[F.col(f"`{c}`") for c in raw]))
+    assert got.filter(F.col("response").contains("\n\n then ")).count() == src.filter((F.col("src_ordinal") % 7 == 0) & F.col("response").isNotNull()).count() > 0
+    assert got.select("src_ordinal").distinct().count() == src.count()
+    # order: in each file rows come sorted by question
+    by_file = got.withColumn("f", F.floor(F.col("src_ordinal") / (1 << 40))).select("f", "src_ordinal", "question").orderBy("src_ordinal").collect()
+    for f in {r.f for r in by_file}:
+        asked = [r.question or "" for r in by_file if r.f == f]
+        assert asked == sorted(asked)
+
+
+def test_doubled_quotes_and_lines_of_another_writer(spark, tmp_root):
+    import os
+
+    os.makedirs(f"{tmp_root}/in")
+    with open(f"{tmp_root}/in/a.csv", "w", newline="") as f:
+        f.write('EmployeeCode,Question,Response\r\nE1,q1,"two\r\nlines, ""quoted"""\r\nE2,q2,plain\r\nE3,"q\n3",""\r\n')
+    got = scan_export(spark, f"{tmp_root}/in", "csv", {"escape": '"'}).orderBy("src_ordinal").select("employee_code", "question", "response").collect()
+    assert [tuple(r) for r in got] == [("E1", "q1", 'two\nlines, "quoted"'), ("E2", "q2", "plain"), ("E3", "q\n3", None)]

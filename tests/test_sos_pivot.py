@@ -123,3 +123,32 @@ def test_dictionary_keeps_known_columns(spark):
     known = spark.createDataFrame([("task_quality", "a!", "q_a")], pivot.DICTIONARY_SCHEMA)
     got = {r.question: r.question_col for r in pivot.question_dictionary(df, known).collect()}
     assert got == {"a": "q_a_2", "new?": "q_new"}
+
+
+def _price_rows(*answers):
+    """(visit, product, ordinal, task, question, response) as tagged rows of the price table."""
+    return [(v, p, o, dt.datetime(2024, 1, 2, 3), task, "t", q, r, None, None, "task_price") for v, p, o, task, q, r in answers]
+
+
+def test_two_thousand_questions_in_one_table(spark):
+    """The number of columns adds no aggregate, and every answer finds its column."""
+    n = 2_000
+    rows = _price_rows(*((v, 1, v * n + i, None, f"question {i}", f"{v}-{i}") for v in (1, 2) for i in range(n) if (v + i) % 3))
+    tagged = spark.createDataFrame(rows, TAGGED_SCHEMA)
+    columns = {f"question {i}": f"q_question_{i}" for i in range(n)}
+    wide = pivot.pivot_task_table(tagged, "task_price", columns)
+    got = {r["visit_id"]: r.asDict() for r in wide.collect()}
+    for v in (1, 2):
+        assert all(got[v][f"q_question_{i}"] == (f"{v}-{i}" if (v + i) % 3 else None) for i in range(n))
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("max_by") < 20
+
+
+def test_tasks_that_differ_in_white_space_are_one_row(spark):
+    """A row of the wide table is a task as the table shows it, without the white space around it."""
+    from shelfscan.constants import TABLES_WITH_TASK
+
+    table = sorted(TABLES_WITH_TASK)[0]
+    rows = [(1, None, o, None, task, "t", "q", r, None, None, table) for o, task, r in ((1, " AUDIT", "a"), (2, "AUDIT", "b"), (3, "audit", "c"), (4, None, "d"))]
+    got = pivot.pivot_task_table(spark.createDataFrame(rows, TAGGED_SCHEMA), table, {"q": "q_q"}).collect()
+    assert sorted((r["task"] or "", r["q_q"]) for r in got) == [("", "d"), ("AUDIT", "b"), ("audit", "c")]
