@@ -1,32 +1,14 @@
-"""Order-aware "first row per key" without a global sort.
+"""Order-aware picks as declarative aggregates, without a sort of rows.
 
-``min_by(struct, src_ordinal)`` is a declarative aggregate: Spark runs it as a
-partial (map-side) + final hash aggregate, so a hot key is collapsed before
-the shuffle instead of landing whole in one task.
+Spark runs them as a partial (map-side) and a final aggregate, so a hot key is
+collapsed before the shuffle instead of landing whole in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import functions as F
 
 
-def first_row_per_key(df: DataFrame, keys: list[str], values: list[str],
-                      order_col: str = "src_ordinal", keep_order: bool = True) -> DataFrame:
-    aggs = [F.min_by(F.struct(*values), F.col(order_col)).alias("_first")] if values else []
-    if keep_order:
-        aggs.append(F.min(order_col).alias("first_ordinal"))
-    out = df.groupBy(*keys).agg(*aggs)
-    cols = [*keys] + ([F.col(f"_first.{v}").alias(v) for v in values]) + (["first_ordinal"] if keep_order else [])
-    return out.select(*cols)
-
-
-def first_non_null(col: str, order_col: str = "src_ordinal"):
-    """Aggregate: value of the earliest row whose ``col`` is not null."""
-    return F.min_by(F.col(col), F.when(F.col(col).isNotNull(), F.col(order_col)))
-
-
-def last_value(col, order_col: str = "src_ordinal", when=None):
-    """Aggregate: value of the latest row (null values included), optionally
-    restricted to rows matching ``when``."""
-    order = F.col(order_col) if when is None else F.when(when, F.col(order_col))
-    return F.max_by(col if not isinstance(col, str) else F.col(col), order)
+def last_value(col, order_col: str = "src_ordinal"):
+    """Aggregate: value of the latest row (null values included)."""
+    return F.max_by(col if not isinstance(col, str) else F.col(col), F.col(order_col))

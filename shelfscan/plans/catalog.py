@@ -496,6 +496,27 @@ def q_load_task_tables(spark, sf_dir):
                                           .select(F.lit(t).alias("table_name"), F.col(MONTH_COL).alias("month"), "n_rows") for t in names])
 
 
+@query("evolve_task_schema")
+def q_evolve_task_schema(spark, sf_dir):
+    """Columns of every task table of a store: after the first delivery, and those that the second one added."""
+    c = _ctx(spark, sf_dir)
+    store = c.new_store("columns")
+    seen: dict[tuple, int] = {}
+    for number, delivery in enumerate(_schema_deliveries(c), 1):
+        etl.run_etl(spark, delivery, store)
+        for table in store.tables():
+            if table.startswith(pivot.TABLE_PREFIX):
+                for column in store.read(table).columns:
+                    seen.setdefault((table, column), number)
+    return spark.createDataFrame([(t, c, n) for (t, c), n in seen.items()], "table_name string, column_name string, delivery int")
+
+
+def _schema_deliveries(c: FixtureContext) -> list[DataFrame]:
+    """Answers about clicks first, and then all of another month."""
+    one, two, _ = _three_deliveries(c)
+    return [one.filter(~F.coalesce(F.col("question").contains("purchase"), F.lit(False))), two]
+
+
 @query("evolve_question_columns")
 def q_evolve_question_columns(spark, sf_dir):
     """The question dictionary of the morning, and after it the afternoon's new questions."""

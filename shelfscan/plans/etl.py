@@ -9,6 +9,8 @@ extra jobs).
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from ..constants import SOS_TABLE
@@ -22,6 +24,8 @@ NARROW_TABLES = "narrow_tables"
 AFFECTED = "affected_visits"
 #: First and last day of the answers of every month of visits: what a week can touch.
 SURVEY_DAYS = "survey_days"
+#: Tables that are written side by side.
+LOADS_AT_ONCE = 4
 #: Tables that a full refresh empties before it loads.
 PAYLOAD = ["validation_results", "survey_quarantine", "survey_responses", "question_dictionary", NARROW_TABLES, SURVEY_DAYS]
 
@@ -99,8 +103,7 @@ def _load(spark: SparkSession, source: DataFrame, store: TableStore, full_refres
         store.append("question_dictionary", new_dict)
     dictionary = store.read("question_dictionary")
 
-    load("task_answers", pivot.all_task_answers(tagged))
-    load(SOS_TABLE, sos.sos_blocks(tagged))
+    loads = [("task_answers", pivot.all_task_answers(tagged)), (SOS_TABLE, sos.sos_blocks(tagged))]
     narrow: list[str] = []
     listed = store.read(NARROW_TABLES)
     before = set() if listed is None else {r["target_table"] for r in listed.collect()}  # one row per task table at most
@@ -115,13 +118,14 @@ def _load(spark: SparkSession, source: DataFrame, store: TableStore, full_refres
                 store.append(NARROW_TABLES, spark.createDataFrame([(table,)], "target_table string"))
             store.drop(table)  # its rows would go stale
         else:
-            load(table, pivot.pivot_task_table(tagged, table, cols))
+            loads.append((table, pivot.pivot_task_table(tagged, table, cols)))
 
     # ---- survey fact -----------------------------------------------------------
     lookup = dims.visit_lookup(visits, written["employees"], written["stores"])
     good, bad = survey.split_valid_questions(store.stage("survey", survey.build_survey(src, lookup)))
-    load("survey_responses", good)
-    load("survey_quarantine", bad)
+    loads += [("survey_responses", good), ("survey_quarantine", bad)]
+    with ThreadPoolExecutor(LOADS_AT_ONCE) as pool:  # tables of their own: small ones do not wait for large ones
+        list(pool.map(lambda job: load(*job), loads))
     days = store.read("survey_responses").filter(F.col(MONTH_COL).isin(months)).groupBy(MONTH_COL).agg(
         F.to_date(F.min("response_datetime")).alias("first_day"), F.to_date(F.max("response_datetime")).alias("last_day"))
     others = store.read(SURVEY_DAYS)

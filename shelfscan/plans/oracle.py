@@ -533,6 +533,21 @@ def oracle_sql() -> dict[str, str]:
         *wide, f"SELECT 'task_answers', month, count(*) FROM ({answers}) GROUP BY month",
         f"SELECT 'task_sos', {month.replace('visit_date', 'v.visit_date')}, count(*) FROM sos JOIN vis v ON v.visit_id = sos.visit_id GROUP BY ALL"])
     q["evolve_question_columns"] = q["question_suffix"]
+    fixed = []
+    for t, _ in keyed:
+        flag = table_flags(t)
+        names = (["visit_id"] + ["product_id"] * flag["has_product"] + ["title"] * flag["has_title"] + ["task"] * flag["has_task"]
+                 + ["latitude", "longitude", "map_link"] * flag["has_location_meta"] + ["response_date", "visit_month"])
+        fixed += [(t, n) for n in names]
+    fixed += [("task_answers", n) for n in ("visit_id", "target_table", "product_id", "task_key", "question", "response", "visit_month")]
+    fixed += [("task_sos", n) for n in ("visit_id", "task", "response_date", "qst", "qst_value", "total", "visit_month")]
+    values = ", ".join(f"('{t}', '{n}')" for t, n in fixed)
+    first = "CAST(min(CASE WHEN src_ordinal < 1000000000000 THEN 1 ELSE 2 END) AS INTEGER)"
+    given = "given AS (SELECT * FROM tagged WHERE src_ordinal >= 1000000000000 OR NOT coalesce(contains(question, 'purchase'), false))"
+    q["evolve_task_schema"] = with_(*deliveries("0, 1"), ROUTED, TAGGED, given, f"fixed(t, n) AS (VALUES {values})") + (
+        f"SELECT target_table AS table_name, {q2c(ct('question'))} AS column_name, {first} AS delivery FROM given "
+        f"WHERE target_table <> 'task_sos' AND {ct('question')} IS NOT NULL GROUP BY ALL UNION ALL "
+        f"SELECT f.t, f.n, {first} FROM fixed f JOIN given ON f.t = target_table OR (f.t = 'task_answers' AND target_table <> 'task_sos') GROUP BY ALL")
     q["rules_by_code"] = " UNION ALL ".join(
         "SELECT " + ", ".join("'" + v.replace("'", "''") + f"' AS {n}" for v, n in zip(r, ["rule_code", "rule_name", "description", "source_table", "severity"]))
         + ", true AS is_active" for r in CURRENT_RULES)

@@ -22,6 +22,7 @@ from ..operators.scan import prefix_count
 from .schema import EXPORT_HEADER, SOURCE_SCHEMA
 
 FILE_SLOT = 1 << 40  # room for row positions inside one file
+BROADCAST_FILES = 100_000  # files whose ranks are broadcast; those of more are joined as Spark sees fit
 _EMPTY_AUTHORITY = r"^([A-Za-z][A-Za-z0-9+.-]*):///"
 
 
@@ -51,8 +52,8 @@ def _with_ordinal(spark: SparkSession, df: DataFrame, fmt: str, ordinal_col: str
         pos = F.col("_metadata.file_block_start") + local
     path = F.regexp_replace(F.col("_metadata.file_path"), _EMPTY_AUTHORITY, "$1:/")
     tagged = df.select("*", path.alias("file_path"), pos.alias("_pos"))
-    # The rank table has one row per input file: a broadcast with a known bound.
-    tagged = tagged.join(F.broadcast(ranks), "file_path", "left")
+    # one row per input file: broadcast while that is known to be small
+    tagged = tagged.join(F.broadcast(ranks) if len(files) <= BROADCAST_FILES else ranks, "file_path", "left")
     return (tagged.withColumn("src_ordinal", F.col("file_rank") * F.lit(FILE_SLOT) + F.col("_pos"))
             .drop("file_path", "file_rank", "_pos"))
 
