@@ -137,17 +137,21 @@ def pack(documents: DataFrame, capacities: Sequence[int] = CAPACITIES, id_col: s
     A document of more tokens than the largest capacity is cut into pieces of
     that capacity and a rest; a piece lies whole in one bin, and pieces of a
     bin do not overlap.  ``tokens`` is a document's length; by default words
-    and an end mark, so that null and empty texts have one token.  Null ids
-    and repeated rows are packed like others, and an empty table gives an
+    and an end mark, so that null and empty texts have one token.  A document
+    whose length is null or under 1 has one piece of no tokens, in no bin.  Null
+    ids and repeated rows are packed like others, and an empty table gives an
     empty table.
     """
     spark, most = documents.sparkSession, max(capacities)
     size = word_tokens(text_or_empty()) if tokens is None else tokens
-    docs = documents.select(F.col(id_col).cast("long").alias("id"), size.cast("long").alias("n")).filter("n > 0")
-    pieces = docs.select("id", F.explode(F.expr(f"transform(sequence(0L, (n - 1) div {most}), p -> named_struct('piece', p, 'length', least(n - p * {most}, {most}L)))")).alias("z"))
+    docs = documents.select(F.col(id_col).cast("long").alias("id"), size.cast("long").alias("n"))
+    pieces = docs.select("id", F.explode(F.expr(
+        f"case when n > 0 then transform(sequence(0L, (n - 1) div {most}), p -> named_struct('piece', p, 'length', least(n - p * {most}, {most}L))) "
+        "else array(named_struct('piece', 0L, 'length', 0L)) end")).alias("z"))
     # Shares of the rows, by id, that are each ranked on their own.
     share = F.pmod(F.xxhash64("id", "piece"), F.lit(8 * partitions(spark)))
     pieces = stored(pieces.select("id", "z.piece", "z.length").withColumn("share", share), "packing-pieces")
+    nothing, pieces = pieces.filter("length = 0"), pieces.filter("length > 0")
     counts = stored(pieces.groupBy("length", "share").agg(F.count(F.lit(1)).alias("n")), "packing-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most one row per token of capacity
     kept = spark.sparkContext.broadcast(plan(histogram, capacities))
@@ -158,6 +162,8 @@ def pack(documents: DataFrame, capacities: Sequence[int] = CAPACITIES, id_col: s
               .select("id", "piece", "length", (F.col("start") + F.col("place")).cast("long").alias("rank")))
     span = max([1, *histogram.values()])
     placed = ranked.mapInArrow(_placer(kept, span), "id long, piece long, length long, bin long, offset long, capacity long, used long")
+    none = F.lit(None).cast("long")
+    placed = placed.union(nothing.select("id", "piece", "length", none, none, none, none))
     return placed.select(
         F.col("id").alias(id_col), "piece", (F.col("piece") * most).alias("first_token"), F.col("length").alias("n_tokens"), F.col("bin").alias("bin_id"),
         F.col("offset").alias("bin_offset"), F.col("capacity").alias("bin_capacity"), F.col("used").alias("bin_tokens"))

@@ -415,3 +415,45 @@ def test_every_piece_goes_into_the_fullest_bin_that_it_fits():
                 at = int(np.searchsorted(plan.bin_first, b, "right")) - 1
                 held = capacity - room[b]
                 assert room[b] >= 0 and plan.bin_used[at] == held and plan.bin_capacity[at] == min(c for c in capacities if c >= held)
+
+
+def test_documents_without_tokens_stay(spark):
+    from shelfscan.llm.packing import pack
+
+    docs = spark.createDataFrame([(1, 5), (2, 0), (3, None), (4, 20), (5, -1)], "doc_id long, n long")
+    got = sorted(((r["doc_id"], r["piece"], r["n_tokens"], r["bin_id"] is None) for r in pack(docs, (8, 16), tokens=F.col("n")).collect()))
+    assert got == [(1, 0, 5, False), (2, 0, 0, True), (3, 0, 0, True), (4, 0, 16, False), (4, 1, 4, False), (5, 0, 0, True)]
+
+
+# --- pipeline ---------------------------------------------------------------------------
+
+def test_pipeline_with_nulls_repeats_and_long_texts(spark, tmp_path):
+    """Every stage on its own input: columns kept, nothing invented, one of each group of near copies, all tokens packed."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    base = docs.orderBy("doc_id").collect()
+    clean = max((r for r in base if r["lang"] == "en" and r["text"]), key=lambda r: (600 < len(r["text"]) < 900, -r["doc_id"]))
+    words = clean["text"].split()
+    near = " ".join(w if i != len(words) // 2 else "changed" for i, w in enumerate(words))
+    odd = [(900_001, None, None, None, None), (900_002, "", "en", "web", 0), (900_003, clean["text"], "en", clean["source"], 1), (900_004, near, "en", clean["source"], 1),
+           (900_005, clean["text"] * 40, "en", "web", 1), (base[0]["doc_id"], base[0]["text"], base[0]["lang"], base[0]["source"], base[0]["n_chars"]), (None, "a text without an id", "en", "web", 1)]
+    spark.createDataFrame([tuple(r) for r in base] + odd, docs.schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    before = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, before, str(tmp_path))
+        assert after.columns == docs.columns
+        given, rows = [tuple(r) for r in before.collect()], [tuple(r) for r in after.collect()]
+        count = {r: given.count(r) for r in rows}
+        assert all(rows.count(r) <= n for r, n in count.items())
+        if name == "ngram_jaccard":
+            kept = {r[0] for r in rows}
+            assert 900_004 not in kept and len({clean["doc_id"], 900_003} & kept) <= 1 and (clean["doc_id"] in kept or clean["doc_id"] not in {r[0] for r in given})
+        before = spark.createDataFrame(rows, docs.schema)
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    want = sorted((r[0] if r[0] is not None else -1, len((r[1] or "").split()) + 1) for r in rows)
+    total = {}
+    for r in packed:
+        total[r["doc_id"]] = total.get(r["doc_id"], 0) + r["n_tokens"]
+    assert sum(total.values()) == sum(n for _, n in want) and set(total) == {r[0] for r in rows}
