@@ -52,8 +52,9 @@ def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
 # The first row of every key is found on the row's ordinal alone: one hash
 # aggregate over GROUPING SETS whose rows are key parts and a number.  The
 # attributes of the first rows, which are few, are then fetched by their
-# ordinals; each table's fetch reads its own columns only, and its side of
-# first rows is broadcast where Spark knows it to be small.
+# ordinals: those of dimensions, where Spark broadcasts the first rows, apart
+# from those of visits, which are narrow.  The result is written once and all
+# base tables read it.
 
 KEY_COLS = ["visit_date", "employee_code", "store_code", "product_code"]
 GROUP_SETS = {
@@ -83,40 +84,47 @@ def _keys(src: DataFrame, names: list[str]) -> DataFrame:
     return src.select("src_ordinal", *[c if c == "visit_date" else clean_text(c).alias(c) for c in names])
 
 
-def base_pass(src: DataFrame) -> DataFrame:
-    """(key parts, table, first_ordinal): the first row of every key of all base tables, in one aggregate.
+ATTRS = [a for attrs in TABLE_ATTRS.values() for a in attrs]
 
-    Keys with a null part are left out.
+
+def _attributes(first: DataFrame, src: DataFrame, tables: list[str]) -> DataFrame:
+    """First rows of some tables' keys with the attributes of these tables, cleaned; others are null."""
+    own = [a for t in tables for a in TABLE_ATTRS[t]]
+    rows = first.filter(F.col("table").isin(tables)).join(src.select(F.col("src_ordinal").alias("first_ordinal"), *own), "first_ordinal")
+    exact = {"year": F.col("year"), "latitude": F.col("latitude").cast("decimal(10,6)"), "longitude": F.col("longitude").cast("decimal(10,6)")}
+    types = {"year": "int", "latitude": "decimal(10,6)", "longitude": "decimal(10,6)"}
+    return rows.select("table", *KEY_COLS, "first_ordinal", *[
+        (exact.get(a, clean_text(a)) if a in own else F.lit(None).cast(types.get(a, "string"))).alias(a) for a in ATTRS])
+
+
+def base_pass(src: DataFrame, tables: list[str] | None = None) -> DataFrame:
+    """(table, key parts, first_ordinal, attributes): the first row of every key of the base tables.
+
+    Keys with a null part are left out.  Key parts and attributes that a table
+    does not have are null.
     """
-    found = _keys(src, KEY_COLS).groupingSets([GROUP_SETS[t] for t in GROUP_SETS], *KEY_COLS).agg(
+    tables = list(tables or GROUP_SETS)
+    found = _keys(src, KEY_COLS).groupingSets([GROUP_SETS[t] for t in tables], *KEY_COLS).agg(
         F.grouping_id().alias("_gid"), F.min("src_ordinal").alias("first_ordinal"))
     table, whole = F.lit(None).cast("string"), F.lit(False)
-    for name, keys in GROUP_SETS.items():
-        here = F.col("_gid") == grouping_id_of(keys)
+    for name in tables:
+        here = F.col("_gid") == grouping_id_of(GROUP_SETS[name])
         table = F.when(here, F.lit(name)).otherwise(table)
-        for k in keys:
+        for k in GROUP_SETS[name]:
             here = here & F.col(k).isNotNull()
         whole = whole | here
-    return found.filter(whole).select(*KEY_COLS, "first_ordinal", table.alias("table"))
+    first = found.filter(whole).select(*KEY_COLS, "first_ordinal", table.alias("table"))
+    parts = [p for p in ([t for t in tables if t != "visits"], [t for t in tables if t == "visits"]) if p]
+    return reduce(DataFrame.unionByName, [_attributes(first, src, p) for p in parts])
 
 
-def _first_rows(src: DataFrame, name: str, passed: DataFrame | None) -> DataFrame:
-    keys = GROUP_SETS[name]
-    if passed is not None:
-        return passed.filter(F.col("table") == name).select(*keys, "first_ordinal")
-    rows = _keys(src, keys)
-    for k in keys:
-        rows = rows.filter(F.col(k).isNotNull())
-    return rows.groupBy(*keys).agg(F.min("src_ordinal").alias("first_ordinal"))
-
-
-def _build(src: DataFrame, name: str, passed: DataFrame | None) -> DataFrame:
+def _build(src: DataFrame, name: str, passed: DataFrame | None, also: tuple = ()) -> DataFrame:
     """First rows of one table's keys with their cleaned attributes."""
-    first = _first_rows(src, name, passed)
-    attrs = TABLE_ATTRS[name]
-    rows = first.join(src.select(F.col("src_ordinal").alias("first_ordinal"), *attrs), "first_ordinal")
-    exact = {"year": F.col("year"), "latitude": F.col("latitude").cast("decimal(10,6)"), "longitude": F.col("longitude").cast("decimal(10,6)")}
-    return rows.select(*GROUP_SETS[name], *[exact.get(a, clean_text(a)).alias(a) for a in attrs], "first_ordinal")
+    rows = (base_pass(src, [name]) if passed is None else passed).filter(F.col("table") == name)
+    if name == "visits":
+        rows = rows.withColumn("map_link", map_link(F.col("latitude"), F.col("longitude")))
+    attrs = VISIT_ATTRS if name == "visits" else TABLE_ATTRS[name]
+    return rows.select(*GROUP_SETS[name], *attrs, "first_ordinal", *also)
 
 
 def build_employees(src: DataFrame, passed: DataFrame | None = None) -> DataFrame:
@@ -134,8 +142,7 @@ def build_products(src: DataFrame, passed: DataFrame | None = None) -> DataFrame
 
 def build_visits(src: DataFrame, passed: DataFrame | None = None) -> DataFrame:
     """One row per (visit_date, employee_code, store_code), first row wins; null key parts dropped."""
-    rows = _build(src, "visits", passed)
-    return rows.withColumn("map_link", map_link(F.col("latitude"), F.col("longitude"))).select(*VISIT_KEY, *VISIT_ATTRS, "first_ordinal")
+    return _build(src, "visits", passed)
 
 
 # ------------------------------------------------------------------ merges --
@@ -148,34 +155,38 @@ def next_id_base(old: DataFrame, id_col: str):
     return old.select(F.coalesce(F.max(id_col), F.lit(0)).cast("bigint")).scalar()
 
 
-def number_new_keys(passed: DataFrame, old: dict, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(table, key parts, number): a dense number from 1 for each key that its table does not have yet.
+def numbered_keys(passed: DataFrame, old: dict, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``passed`` with ``number``: dense from 1 for the keys that their table does not have yet, in the order of
+    their first rows; null for the others.
 
-    All tables' new keys are numbered in one pass, in the order of their first
-    rows.  ``old`` holds the tables (or the part of them that a delivery can
-    match) by name; a table that is not there has no keys.
+    All tables' new keys are numbered in one pass.  ``old`` holds the tables
+    (or the part of them that a delivery can match) by name; a table that is
+    not there has no keys.
     """
-    fresh = []
+    parts = []
     for name, keys in GROUP_SETS.items():
         rows = passed.filter(F.col("table") == name)
-        if old.get(name) is not None:
-            rows = rows.join(old[name].select(*keys), keys, "left_anti")
-        fresh.append(rows.select("table", *KEY_COLS, "first_ordinal"))
-    return dense_numbers(reduce(DataFrame.union, fresh), "table", "first_ordinal", "number", stage)
+        if old.get(name) is None:
+            rows = rows.withColumn("group", F.lit(f"{name} new"))
+        else:
+            known = old[name].select(*keys, F.lit(True).alias("_known"))
+            rows = rows.join(known, keys, "left").withColumn("group", F.when(F.col("_known"), F.lit(f"{name} known")).otherwise(F.lit(f"{name} new"))).drop("_known")
+        parts.append(rows.select("group", *passed.columns))
+    rows = dense_numbers(reduce(DataFrame.union, parts), "group", "first_ordinal", "place", stage)
+    return rows.withColumn("number", F.when(F.endswith("group", F.lit("new")), F.col("place"))).drop("group", "place")
 
 
 def merge_dimension(old: DataFrame | None, new: DataFrame, key: list[str] | str, id_col: str,
-                    attrs: list[str], numbers: DataFrame, allocated: DataFrame | None = None) -> DataFrame:
+                    attrs: list[str], allocated: DataFrame | None = None) -> DataFrame:
     """Upsert ``new`` into ``old`` by natural key.
 
     Attributes of a delivered key are overwritten, also with null; keys not in
-    the delivery are kept untouched.  ``numbers`` (key, number) has the keys
+    the delivery are kept untouched.  ``number`` of ``new`` numbers the keys
     that are not in ``old``.  ``old=None`` is a first load into an empty table:
     ids start at 1.  Where ``old`` is a part of a table, ``allocated`` is the
     whole of it: new ids follow the largest of these.
     """
     key = [key] if isinstance(key, str) else list(key)
-    new = new.join(numbers.select(*key, "number"), key, "left")
     if old is None:
         return new.select(*key, F.col("number").cast("bigint").alias(id_col), *attrs)
     base = next_id_base(old if allocated is None else allocated, id_col)
@@ -189,21 +200,17 @@ def merge_dimension(old: DataFrame | None, new: DataFrame, key: list[str] | str,
     return j.select(*cols)
 
 
-def _numbers_of(numbers: DataFrame, name: str) -> DataFrame:
-    return numbers.filter(F.col("table") == name).select(*GROUP_SETS[name], "number")
-
-
-def merge_employees(old: DataFrame | None, new: DataFrame, numbers: DataFrame) -> DataFrame:
-    return merge_dimension(old, new, "employee_code", "employee_id", ["username"], _numbers_of(numbers, "employees")) \
+def merge_employees(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    return merge_dimension(old, new, "employee_code", "employee_id", ["username"]) \
         .select(*EMPLOYEES_SCHEMA.names)
 
 
-def merge_stores(old: DataFrame | None, new: DataFrame, numbers: DataFrame) -> DataFrame:
-    return merge_dimension(old, new, "store_code", "store_id", STORE_COLS[1:], _numbers_of(numbers, "stores")).select(*STORES_SCHEMA.names)
+def merge_stores(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    return merge_dimension(old, new, "store_code", "store_id", STORE_COLS[1:]).select(*STORES_SCHEMA.names)
 
 
-def merge_products(old: DataFrame | None, new: DataFrame, numbers: DataFrame) -> DataFrame:
-    return merge_dimension(old, new, "product_code", "product_id", PRODUCT_COLS[1:], _numbers_of(numbers, "products")) \
+def merge_products(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    return merge_dimension(old, new, "product_code", "product_id", PRODUCT_COLS[1:]) \
         .select(*PRODUCTS_SCHEMA.names)
 
 
@@ -214,11 +221,11 @@ def attach_dim_ids(visits: DataFrame, employees: DataFrame, stores: DataFrame) -
 
 
 def merge_visits(old: DataFrame | None, new: DataFrame, employees: DataFrame, stores: DataFrame,
-                 numbers: DataFrame, allocated: DataFrame | None = None) -> DataFrame:
+                 allocated: DataFrame | None = None) -> DataFrame:
     """Upsert visits by (visit_date, employee, store); year, month, GPS and link are updated."""
     new = attach_dim_ids(new, employees, stores)
     attrs = ["year", "month", "employee_id", "store_id", "latitude", "longitude", "map_link"]
-    return merge_dimension(old, new, VISIT_KEY, "visit_id", attrs, _numbers_of(numbers, "visits"), allocated).select(*VISITS_SCHEMA.names)
+    return merge_dimension(old, new, VISIT_KEY, "visit_id", attrs, allocated).select(*VISITS_SCHEMA.names)
 
 
 def affected_visits(merged_visits: DataFrame, delivered: DataFrame) -> DataFrame:
@@ -234,20 +241,20 @@ def visit_lookup(visits: DataFrame, employees: DataFrame, stores: DataFrame) ->
             .select("visit_id", "visit_date", "employee_code", "store_code"))
 
 
-def load_base_tables(src: DataFrame, passed: DataFrame, stage: Callable[[DataFrame], DataFrame],
+def load_base_tables(passed: DataFrame, stage: Callable[[DataFrame], DataFrame],
                      old: dict | None = None) -> dict[str, DataFrame]:
-    """Build + merge all four base tables for one delivery.
+    """Merge all four base tables for one delivery.
 
-    ``passed`` is the written ``base_pass(src)``, and ``stage`` writes a frame
+    ``passed`` is the written ``base_pass`` of it, and ``stage`` writes a frame
     and reads it back (for the numbers of new keys).  ``old`` has the tables so
     far; for visits that may be the months which the delivery touches, with the
     whole table as ``all_visits``.
     """
     old = old or {}
-    numbers = number_new_keys(passed, old, stage)
-    # written, since visits read them as well
-    emp = stage(merge_employees(old.get("employees"), build_employees(src, passed), numbers))
-    sto = stage(merge_stores(old.get("stores"), build_stores(src, passed), numbers))
-    pro = merge_products(old.get("products"), build_products(src, passed), numbers)
-    vis = merge_visits(old.get("visits"), build_visits(src, passed), emp, sto, numbers, old.get("all_visits"))
+    numbered = numbered_keys(passed, old, stage)
+    new = {name: _build(None, name, numbered, ("number",)) for name in GROUP_SETS}
+    emp = merge_employees(old.get("employees"), new["employees"])
+    sto = merge_stores(old.get("stores"), new["stores"])
+    pro = merge_products(old.get("products"), new["products"])
+    vis = merge_visits(old.get("visits"), new["visits"], emp, sto, old.get("all_visits"))
     return {"employees": emp, "stores": sto, "products": pro, "visits": vis}

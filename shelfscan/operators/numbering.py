@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 _ROW_BITS = 33  # of monotonically_increasing_id
 
@@ -23,9 +23,13 @@ def dense_numbers(df: DataFrame, group: str, order: str, out: str, stage: Callab
     dealt = df.repartitionByRange(n, group, order).sortWithinPartitions(group, order)
     placed = stage(dealt.withColumn("_place", F.monotonically_increasing_id()))
     part: Column = F.shiftright("_place", _ROW_BITS)
-    # one row for each range and group
+    # one row for each range and group: as many as there are partitions and groups
     ranges = placed.groupBy(part.alias("_part"), F.col(group).alias("_group")).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    joined = placed.join(F.broadcast(ranges), (part == F.col("_part")) & (F.col(group) == F.col("_group")))
-    return joined.withColumn(out, F.col("_before") + F.col("_place") - F.col("_first") + 1).drop("_place", "_part", "_group", "_first", "_before")
+    before: dict = {}
+    offsets = []
+    for r in sorted(ranges.collect(), key=lambda r: r["_part"]):
+        offsets.append((r["_part"], r["_group"], before.get(r["_group"], 0) + 1 - r["_first"]))
+        before[r["_group"]] = before.get(r["_group"], 0) + r["_n"]
+    table = df.sparkSession.createDataFrame(offsets, f"_part bigint, _group {df.schema[group].dataType.simpleString()}, _shift bigint")
+    joined = placed.join(F.broadcast(table), (part == F.col("_part")) & (F.col(group) == F.col("_group")))
+    return joined.withColumn(out, F.col("_place") + F.col("_shift")).drop("_place", "_part", "_group", "_shift")

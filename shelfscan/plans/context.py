@@ -49,7 +49,7 @@ class FixtureContext:
 
     @cached_property
     def base(self) -> dict[str, DataFrame]:
-        return dims.load_base_tables(self.src, self.keep(dims.base_pass(self.src)), self.keep)
+        return dims.load_base_tables(self.keep(dims.base_pass(self.src)), self.keep)
 
     @property
     def employees(self) -> DataFrame:
@@ -119,13 +119,11 @@ class FixtureContext:
 
     @cached_property
     def load1(self) -> dict[str, DataFrame]:
-        return dims.load_base_tables(self.deliveries[0], self.pass1, self.keep)
+        return dims.load_base_tables(self.pass1, self.keep)
 
     @cached_property
     def load2(self) -> dict[str, DataFrame]:
-        # the tables of the morning as a store would have them: written
-        old = {name: self.keep(df) for name, df in self.load1.items()}
-        return dims.load_base_tables(self.deliveries[1], self.pass2, self.keep, old)
+        return dims.load_base_tables(self.pass2, self.keep, self.load1)
 
     @cached_property
     def affected(self) -> DataFrame:

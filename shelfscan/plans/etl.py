@@ -71,7 +71,7 @@ def _load(spark: SparkSession, source: DataFrame, store: TableStore, full_refres
         old["all_visits"] = old["visits"]
         old["visits"] = old["visits"].filter(F.col(MONTH_COL).isin(months)).drop(MONTH_COL)
     passed = store.stage("first-rows", dims.base_pass(src))
-    base = dims.load_base_tables(src, passed, lambda df: store.stage("new-keys", df), old)
+    base = dims.load_base_tables(passed, lambda df: store.stage("new-keys", df), old)
 
     counts: dict[str, int] = {}
     delivered_counts: dict[str, int] = {}
