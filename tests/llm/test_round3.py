@@ -286,9 +286,10 @@ def test_each_query_without_sql_has_a_test_here():
 
 @pytest.mark.parametrize("name", ["op12_prefix_trie", "op13_ranked_search"])
 def test_queries_equal_their_sql(spark, name):
+    import pathlib
     import sys
 
-    sys.path.insert(0, "tools")
+    sys.path.insert(0, str(pathlib.Path(__file__).parents[2] / "tools"))
     import __spark_entry__ as entry
     from oracle_check import compare, duck
 
