@@ -163,6 +163,8 @@ def numbered_keys(passed: DataFrame, old: dict, stage: Callable[[DataFrame], Dat
     (or the part of them that a delivery can match) by name; a table that is
     not there has no keys.
     """
+    if not any(old.get(name) is not None for name in GROUP_SETS):  # all are new
+        return dense_numbers(passed, "table", "first_ordinal", "number", stage)
     parts = []
     for name, keys in GROUP_SETS.items():
         rows = passed.filter(F.col("table") == name)

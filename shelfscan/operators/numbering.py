@@ -8,17 +8,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _ROW_BITS = 33  # of monotonically_increasing_id
+#: Rows up to which a plain window ranks them: as many as one task sorts with ease.
+PLAIN_ROWS = 1 << 20
 
 
 def dense_numbers(df: DataFrame, group: str, order: str, out: str, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Add ``out``: 1, 2, 3, ... by ``order`` within each value of ``group``.
 
     ``group`` has few values (one a table).  ``stage`` writes a frame and reads
-    it back, so that places and counts come from the same rows.
+    it back, so that places and counts come from the same rows.  ``df`` is
+    counted, so that it should be read from files.  A frame of few rows is
+    ranked by a window, with the same numbers.
     """
+    if df.limit(PLAIN_ROWS + 1).count() <= PLAIN_ROWS:
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(group).orderBy(order)).cast("bigint"))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(n, group, order).sortWithinPartitions(group, order)
     placed = stage(dealt.withColumn("_place", F.monotonically_increasing_id()))

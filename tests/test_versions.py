@@ -116,8 +116,12 @@ def test_replaced_visits_are_read_back(spark, tmp_root):
         assert rows(etl.replace_visits(store, "t", new, affected)) == want
 
 
-def test_dense_numbers_over_many_files(spark, tmp_root):
-    """Ids grow by the number of new keys, however far apart their ordinals are."""
+@pytest.mark.parametrize("plain", [True, False])
+def test_dense_numbers_over_many_files(spark, tmp_root, monkeypatch, plain):
+    """Ids grow by the number of new keys, however far apart their ordinals are; by a window or over ranges."""
+    from shelfscan.operators import numbering
+
+    monkeypatch.setattr(numbering, "PLAIN_ROWS", 1 << 20 if plain else -1)
     store = TableStore(spark, tmp_root)
     spread = spark.range(10_000).select((F.col("id") * (1 << 40) + 5).alias("o"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("g")).orderBy(F.rand(1))
     got = dense_numbers(spread, "g", "o", "number", lambda df: store.stage("n", df)).collect()
@@ -127,7 +131,11 @@ def test_dense_numbers_over_many_files(spark, tmp_root):
     assert dense_numbers(spread.limit(0), "g", "o", "number", lambda df: store.stage("n", df)).count() == 0
 
 
-def test_ids_stay_dense_over_loads(spark, tmp_root):
+@pytest.mark.parametrize("plain", [True, False])
+def test_ids_stay_dense_over_loads(spark, tmp_root, monkeypatch, plain):
+    from shelfscan.operators import numbering
+
+    monkeypatch.setattr(numbering, "PLAIN_ROWS", 1 << 20 if plain else -1)
     morning, afternoon = split_deliveries(events_source(spark, SF_SMALL))
     store = TableStore(spark, tmp_root)
     for delivery in (morning, afternoon, afternoon):
