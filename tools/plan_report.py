@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 NODES = ["Exchange", "BroadcastExchange", "ReusedExchange", "SortMergeJoin", "BroadcastHashJoin",
          "ShuffledHashJoin", "BroadcastNestedLoopJoin", "CartesianProduct", "HashAggregate",
-         "SortAggregate", "ObjectHashAggregate", "Window", "Expand", "FlatMapGroupsInPandas", "Scan"]
+         "SortAggregate", "ObjectHashAggregate", "Window", "Expand", "FileScan"]
 
 
 def main() -> None:
@@ -25,6 +25,7 @@ def main() -> None:
     from shelfscan.plans import catalog
     from shelfscan.session import get_session
     spark = get_session("local[8]", shuffle_partitions=8)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     lines = ["# Physical plans of the headline queries", "",
              f"Final adaptive plans at `{sf_dir}` (generated by `tools/plan_report.py`). "
              "Shared inputs (prepared source, first rows, routed rows, survey fact) are staged as Parquet while "
@@ -44,8 +45,8 @@ def main() -> None:
         for node in NODES:
             counts[node] = len(re.findall(rf"(?<![A-Za-z]){node}(?![A-Za-z])", plan))
         lines.append(f"| {name} | " + " | ".join(str(counts[n]) for n in NODES) + " |")
-        filters[name] = sorted(set(f for f in re.findall(r"(?:PushedFilters|PartitionFilters): (\[[^\]]+\])", plan)))
-        scans[name] = sorted(set(re.findall(r"ReadSchema: (struct<[^>]*>)", plan)))
+        filters[name] = sorted(set(f for f in re.findall(r"(?:PushedFilters|PartitionFilters): (\[[^\n]+?\]), (?:ReadSchema|PushedFilters)", plan)))
+        scans[name] = sorted(set(re.findall(r"ReadSchema: (struct<[^\n]*>)", plan)))
     lines += ["", "## Parquet columns read", ""]
     for name, sc in scans.items():
         lines.append(f"* **{name}**: " + ("; ".join(f"`{s}`" for s in sc) if sc else "none"))
