@@ -18,8 +18,8 @@ from ..constants import GPS_RULE_CODE, OSA_RULE_CODE
 from ..functions import (clean_float, clean_text, epoch_micros, parse_dateid, parse_excel_serial,
                          question_to_column, round_to_second, week_mode1)
 from ..operators import dims, migrate, pivot, reports, routing, rules, sos, survey
-from ..operators.numbering import dense_numbers
-from ..session import checkpoint_dir
+from ..operators.scan import prefix_count
+from ..session import checkpoint_dir, compile_small
 from ..sources.export import export_rows, scan_export
 from ..sources.schema import SOURCE_COLUMNS, SURVEY_COLUMNS
 from ..sources.store import MONTH_COL, TableStore, with_visit_month
@@ -64,6 +64,7 @@ def _ctx(spark, sf_dir) -> FixtureContext:
     """One lazy context per (session, directory): shared DataFrames are
     constructed (analysed) once and reused by every query of the session."""
     # the session's own id: that of a Python proxy can come again after it is gone
+    compile_small(spark)
     key = (spark.sparkContext.applicationId, spark._jsparkSession.sessionUUID(), sf_dir.rstrip("/"))
     ctx = _CONTEXTS.get(key)
     if ctx is None:
@@ -73,6 +74,10 @@ def _ctx(spark, sf_dir) -> FixtureContext:
 
 # ------------------------------------------------------------- sources ----
 
+#: Rows of one file of the written export; a longer table has more files.
+EXPORT_ROWS = 1 << 17
+
+
 @query("scan_export")
 def q_scan_export(spark, sf_dir):
     """The fixture written as CSV files, as a field tool delivers them, and scanned.
@@ -81,14 +86,16 @@ def q_scan_export(spark, sf_dir):
     in the order of the files, from 1.
     """
     c = _ctx(spark, sf_dir)
-    src = c.src.withColumn("response", F.when(F.col("src_ordinal") % 17 == 0, F.concat("response", F.lit('\nsuite "2", fin')))
-                           .otherwise(F.col("response")))
+    files = max(4, c.src.count() // EXPORT_ROWS)
+    src = c.src.repartitionByRange(files, "src_ordinal").sortWithinPartitions("src_ordinal").withColumn(
+        "response", F.when(F.col("src_ordinal") % 17 == 0, F.concat("response", F.lit('\nsuite "2", fin'))).otherwise(F.col("response")))
     path = f"{checkpoint_dir(spark)}/export/{uuid.uuid4().hex}"
-    (export_rows(src).repartitionByRange(4, "src_ordinal").sortWithinPartitions("src_ordinal").drop("src_ordinal").write
+    (export_rows(src).drop("src_ordinal").write
      .option("header", "true").option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path))
-    scanned = scan_export(spark, path, "csv")
-    numbered = dense_numbers(scanned.withColumn("_all", F.lit(0)), "_all", "src_ordinal", "place", c.keep)
-    return numbered.withColumn("src_ordinal", F.col("place").cast("bigint")).select(*SOURCE_COLUMNS)
+    # parsed once, then read by each step of the numbering
+    scanned = c.keep(scan_export(spark, path, "csv"))
+    numbered = prefix_count(scanned.withColumn("_row", F.lit(True)), [], "src_ordinal", "_row", "place", EXPORT_ROWS)
+    return numbered.withColumn("src_ordinal", F.col("place") + 1).select(*SOURCE_COLUMNS)
 
 
 @query("parse_dateid")

@@ -26,6 +26,9 @@ DEFAULT_CONF = {
 }
 
 
+METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+
+
 def get_session(master: str | None = None, app: str = "shelfscan",
                 shuffle_partitions: int | None = None,
                 extra: dict | None = None) -> SparkSession:
@@ -53,6 +56,16 @@ def get_session(master: str | None = None, app: str = "shelfscan",
     return spark
 
 
+def compile_small(spark: SparkSession) -> None:
+    """Have wide projections compiled in methods that the JVM runs as machine code.
+
+    HotSpot interprets methods of over 8,000 bytes, many times slower; Spark's
+    own limit lets the methods of a whole stage grow to 65,535.
+    """
+    if spark.conf.get(METHOD_LIMIT, None) is None:
+        spark.conf.set(METHOD_LIMIT, "8000")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for staged tables and checkpoints.
 

@@ -24,6 +24,8 @@ from .schema import EXPORT_HEADER, SOURCE_SCHEMA
 FILE_SLOT = 1 << 40  # room for row positions inside one file
 BROADCAST_FILES = 100_000  # files whose ranks are broadcast; those of more are joined as Spark sees fit
 _EMPTY_AUTHORITY = r"^([A-Za-z][A-Za-z0-9+.-]*):///"
+_NO_AUTHORITY = r"^([A-Za-z][A-Za-z0-9+.-]*):/(?!/)"
+LINES_AT_ONCE = 1 << 16  # lines of a file whose quotes are added up in one group
 
 
 def norm_header(df: DataFrame) -> DataFrame:
@@ -42,17 +44,17 @@ def _with_ordinal(spark: SparkSession, df: DataFrame, fmt: str, ordinal_col: str
     if ordinal_col and ordinal_col in df.columns:
         return df.withColumn("src_ordinal", F.col(ordinal_col).try_cast("bigint"))
     # inputFiles() and _metadata.file_path spell empty URI authorities
-    # differently (file:///x vs file:/x): compare a normalised form.
+    # differently (file:///x vs file:/x): each file is listed in both spellings.
     files = sorted(re.sub(_EMPTY_AUTHORITY, r"\1:/", f) for f in df.inputFiles())
-    ranks = spark.createDataFrame([(f, i) for i, f in enumerate(files)], "file_path string, file_rank bigint")
+    ranks = spark.createDataFrame([(s, i) for i, f in enumerate(files) for s in {f, re.sub(_NO_AUTHORITY, r"\1:///", f)}],
+                                  "file_path string, file_rank bigint")
     if fmt == "parquet":
         pos = F.col("_metadata.row_index")
     else:
         local = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)
         pos = F.col("_metadata.file_block_start") + local
-    path = F.regexp_replace(F.col("_metadata.file_path"), _EMPTY_AUTHORITY, "$1:/")
-    tagged = df.select("*", path.alias("file_path"), pos.alias("_pos"))
-    # one row per input file: broadcast while that is known to be small
+    tagged = df.select("*", F.col("_metadata.file_path").alias("file_path"), pos.alias("_pos"))
+    # two rows at most per input file: broadcast while that is known to be small
     tagged = tagged.join(F.broadcast(ranks) if len(files) <= BROADCAST_FILES else ranks, "file_path", "left")
     return (tagged.withColumn("src_ordinal", F.col("file_rank") * F.lit(FILE_SLOT) + F.col("_pos"))
             .drop("file_path", "file_rank", "_pos"))
@@ -82,12 +84,16 @@ def _inside_quotes(line: str, quote: str, escape: str) -> F.Column:
     """
     text = F.col(line)
     if escape and escape != quote:
-        text = F.regexp_replace(text, re.escape(escape) + "(?s:.)", "")
+        text = F.when(F.contains(text, F.lit(escape)), F.regexp_replace(text, re.escape(escape) + "(?s:.)", "")).otherwise(text)
     return (F.length(text) - F.length(F.replace(text, F.lit(quote), F.lit("")))) % 2 == 1
 
 
 def _csv_records(spark: SparkSession, path, options: dict) -> DataFrame | None:
-    """Whole records of CSV files with ``src_ordinal`` of their first lines, or None if every record is one line."""
+    """Whole records of CSV files, without each file's first, and ``src_ordinal`` of their first lines.
+
+    None if every record is one line.  Only the lines of longer records are
+    grouped.
+    """
     quote, escape = options.get("quote", '"'), options.get("escape", "\\")
     if not quote:
         return None
@@ -95,26 +101,31 @@ def _csv_records(spark: SparkSession, path, options: dict) -> DataFrame | None:
     for k in ("encoding", "pathGlobFilter", "recursiveFileLookup"):
         if k in options:
             text = text.option(k, options[k])
-    lines = _with_ordinal(spark, text.load(path), "text", None).withColumn("_odd", _inside_quotes("value", quote, escape))
+    source = text.load(path)
+    lines = _with_ordinal(spark, source, "text", None).withColumn("_odd", _inside_quotes("value", quote, escape))
     if not lines.select("_odd").filter("_odd").limit(1).count():
         return None
     # an ordinal's upper part is its file
     lines = lines.withColumn("_file", F.shiftright("src_ordinal", FILE_SLOT.bit_length() - 1))
-    lines = prefix_count(lines, ["_file"], "src_ordinal", "_odd", "_quotes")
-    lines = lines.withColumn("_begins", F.col("_quotes") % 2 == 0)
-    # lines of one record: the line that begins it, and those that begin inside a field, up to the next one
-    lines = prefix_count(lines, ["_file"], "src_ordinal", "_begins", "_before").withColumn(
-        "_record", F.col("_before") + F.col("_begins").cast("int"))
-    whole = lines.groupBy("_file", "_record").agg(F.sort_array(F.collect_list(F.struct("src_ordinal", "value"))).alias("l"))
-    return whole.select(F.array_join(F.transform("l", lambda x: F.regexp_replace(x["value"], "\r$", "")), "\n").alias("value"),
-                        F.element_at("l", 1)["src_ordinal"].alias("src_ordinal"), "_file", "_record")
+    firsts = lines.groupBy("_file").agg(F.min("src_ordinal").alias("_first"))
+    ended = F.when(F.contains("value", F.lit("\r")), F.regexp_replace("value", "\r$", "")).otherwise(F.col("value"))
+    lines = prefix_count(lines, ["_file"], "src_ordinal", "_odd", "_quotes", LINES_AT_ONCE).withColumn("value", ended)
+    alone = ~F.col("_odd") & (F.col("_quotes") % 2 == 0)
+    # a record of several lines opens with an odd line after an even number of
+    # such, and goes on to the next odd one
+    longer = (lines.filter(~alone).groupBy("_file", F.floor(F.col("_quotes") / 2))
+              .agg(F.sort_array(F.collect_list(F.struct("src_ordinal", "value"))).alias("l")))
+    records = lines.filter(alone).select("_file", "src_ordinal", "value").unionByName(
+        longer.select("_file", F.element_at("l", 1)["src_ordinal"].alias("src_ordinal"), F.array_join("l.value", "\n").alias("value")))
+    few = len(source.inputFiles()) <= BROADCAST_FILES
+    return records.join(F.broadcast(firsts) if few else firsts, "_file").filter(F.col("src_ordinal") > F.col("_first"))
 
 
 def _parsed_records(spark: SparkSession, records: DataFrame, header: list[str], options: dict) -> DataFrame:
-    """Fields of the records by the header; the header's own record of each file goes."""
+    """Fields of the records by the header."""
     known = {k: v for k, v in options.items() if k in ("sep", "delimiter", "quote", "escape", "nullValue", "emptyValue", "ignoreLeadingWhiteSpace",
                                                      "ignoreTrailingWhiteSpace", "charToEscapeQuoteEscaping")}
-    body = records.filter((F.col("_record") > 1) & (F.trim("value") != ""))
+    body = records.filter(F.trim("value") != "")
     fields = F.from_csv("value", _ddl(header), {k: str(v) for k, v in known.items()})
     return body.select("src_ordinal", fields.alias("f")).select("src_ordinal", "f.*")
 
@@ -139,9 +150,8 @@ def scan_export(spark: SparkSession, path: str | list[str], fmt: str = "csv",
         if ordinal_col and ordinal_col in df.columns:
             df = df.withColumn("src_ordinal", F.col(ordinal_col).try_cast("bigint"))
     else:
-        df = _with_ordinal(spark, df, fmt, ordinal_col)  # needs the scan's own partitions
-    df = norm_header(balance_partitions(df))
-    return prepare_source(df)
+        df = balance_partitions(_with_ordinal(spark, df, fmt, ordinal_col))  # needs the scan's own partitions
+    return prepare_source(norm_header(df))
 
 
 def prepare_source(df: DataFrame) -> DataFrame:

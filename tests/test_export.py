@@ -107,3 +107,42 @@ def test_doubled_quotes_and_lines_of_another_writer(spark, tmp_root):
         f.write('EmployeeCode,Question,Response\r\nE1,q1,"two\r\nlines, ""quoted"""\r\nE2,q2,plain\r\nE3,"q\n3",""\r\n')
     got = scan_export(spark, f"{tmp_root}/in", "csv", {"escape": '"'}).orderBy("src_ordinal").select("employee_code", "question", "response").collect()
     assert [tuple(r) for r in got] == [("E1", "q1", 'two\nlines, "quoted"'), ("E2", "q2", "plain"), ("E3", "q\n3", None)]
+
+
+def test_records_over_lines_are_put_together_once(spark, tmp_root, monkeypatch):
+    """A scan plans its records without running them, and groups of few lines give the same records."""
+    from shelfscan.sources import export
+
+    import os
+    os.makedirs(f"{tmp_root}/in")
+    want = []
+    for name in ("a", "b"):
+        with open(f"{tmp_root}/in/{name}.csv", "w", newline="") as f:
+            f.write("EmployeeCode,Response\r\n")
+            for i in range(60):
+                answer = {0: "plain", 1: 'two\r\nlines, "quoted"', 2: "\r\n\r\nmany\r\n\r\n", 3: "a \\ in it"}[i % 4]
+                f.write(f'{name}{i},"' + answer.replace('"', '""') + '"\r\n')
+                want.append((f"{name}{i}", answer.replace("\r\n", "\n")))
+    monkeypatch.setattr(export, "LINES_AT_ONCE", 8)
+    sc = spark.sparkContext
+    sc.setJobGroup("scan-once", "scan")
+    try:
+        scanned = scan_export(spark, f"{tmp_root}/in", "csv", {"escape": '"'})
+        jobs = sc.statusTracker().getJobIdsForGroup("scan-once")
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 4  # the header, and whether a field goes on over a line
+    assert [tuple(r) for r in scanned.orderBy("src_ordinal").select("employee_code", "response").collect()] == want
+
+
+def test_a_longer_export_has_more_files(spark, monkeypatch):
+    """The written export grows by files, not by rows a file; its rows keep their places."""
+    from shelfscan.plans import catalog
+
+    read = []
+    monkeypatch.setattr(catalog, "EXPORT_ROWS", 50)
+    monkeypatch.setattr(catalog, "scan_export", lambda s, path, fmt: read.append(len(s.read.text(path).inputFiles())) or scan_export(s, path, fmt))
+    rows = catalog.QUERIES["scan_export"](spark, SF_SMALL).orderBy("src_ordinal").select("src_ordinal", "employee_code").collect()
+    want = events_source(spark, SF_SMALL).orderBy("src_ordinal").select("employee_code").collect()
+    assert read[0] > 4
+    assert [tuple(r) for r in rows] == [(i, w[0]) for i, w in enumerate(want, 1)]
