@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import (GLACE_KEYWORD, GLACE_TABLE, LOCATION_TABLES, TABLES_WITH_PRODUCT,
@@ -12,13 +14,13 @@ from ..functions import clean_text, contains_ci, strip_text
 
 def route_expr() -> Column:
     """Target table: exact trimmed task match first, then the first title keyword."""
-    task = strip_text("task")
-    expr = None
-    for name, table in TASK_TABLE_MAP.items():
-        expr = F.when(task == name, F.lit(table)) if expr is None else expr.when(task == name, F.lit(table))
-    for key, table in TITLE_TABLE_MAP.items():
-        expr = expr.when(contains_ci("title", key), F.lit(table))
-    return expr
+    tables = F.create_map(*[F.lit(x) for pair in TASK_TABLE_MAP.items() for x in pair])
+
+    def by_title(upper: Column) -> Column:
+        return reduce(lambda expr, pair: expr.when(upper.contains(pair[0]), F.lit(pair[1])), TITLE_TABLE_MAP.items(), F)
+
+    # the upper-cased title is bound once, by a transform over an array of one
+    return F.coalesce(F.element_at(tables, strip_text("task")), F.element_at(F.transform(F.array(F.upper("title")), by_title), 1))
 
 
 def with_route(src: DataFrame) -> DataFrame:
@@ -26,8 +28,12 @@ def with_route(src: DataFrame) -> DataFrame:
 
 
 def route_task_table(src: DataFrame) -> DataFrame:
-    """Routed rows only (unmatched rows are dropped)."""
-    return with_route(src).filter(F.col("target_table").isNotNull())
+    """Routed rows only (unmatched rows are dropped).
+
+    A row goes to each table of an array of one or none: a filter on the table
+    would find it again for every condition.
+    """
+    return src.withColumn("target_table", F.explode(F.array_compact(F.array(route_expr()))))
 
 
 def unmatched_rows(src: DataFrame) -> DataFrame:

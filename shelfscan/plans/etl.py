@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from ..constants import SOS_TABLE
 from ..operators import dims, pivot, routing, sos, survey
+from ..session import compile_small
 from ..sources.store import MONTH_COL, TableStore, replace_by_visit, with_visit_month
 
 BASE_TABLES = ["employees", "stores", "products", "visits"]
@@ -47,6 +48,7 @@ def run_etl(spark: SparkSession, source: DataFrame, store: TableStore, full_refr
     dropped then, and stays away until a full refresh: built again from one
     delivery, it would lack the visits of others.
     """
+    compile_small(spark)
     try:
         with store.transaction():
             out = _load(spark, source, store, full_refresh)

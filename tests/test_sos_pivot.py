@@ -152,3 +152,17 @@ def test_tasks_that_differ_in_white_space_are_one_row(spark):
     rows = [(1, None, o, None, task, "t", "q", r, None, None, table) for o, task, r in ((1, " AUDIT", "a"), (2, "AUDIT", "b"), (3, "audit", "c"), (4, None, "d"))]
     got = pivot.pivot_task_table(spark.createDataFrame(rows, TAGGED_SCHEMA), table, {"q": "q_q"}).collect()
     assert sorted((r["task"] or "", r["q_q"]) for r in got) == [("", "d"), ("AUDIT", "b"), ("audit", "c")]
+
+
+def test_routes_are_found_once_for_a_row(spark):
+    """The rule is not evaluated again for the filters above it; null, blank and several titles keep their route."""
+    from shelfscan.operators import routing
+
+    rows = [("LOCATION CHECK IN", "Osa"), (" QUALITY\u3000", None), ("quality", "prix et sos"), (None, "Secondary placement"), ("bac GLACE", "secondary placement"),
+            (None, None), ("AUDIT", "other"), ("", "temperature, osa")]
+    src = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "src_ordinal bigint, task string, title string")
+    kept = routing.filter_glace(routing.route_task_table(src))
+    assert {r["src_ordinal"]: r["target_table"] for r in kept.collect()} == {
+        0: "task_location_checkin", 1: "task_quality", 2: "task_price", 3: "task_secondary_placement", 7: "task_osa_pack_coc_mh"}
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("TEMPERATURE") == 1
+    assert [r["src_ordinal"] for r in routing.unmatched_rows(src).orderBy("src_ordinal").collect()] == [5, 6]
